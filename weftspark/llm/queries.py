@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftspark.llm.common import table
 
@@ -23,9 +24,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_in_shards(table(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Packing of documents as the contract has it; the ids are given by their CRC-32."""
+    import public_tokenizers
+
+    from weftspark.llm.packing import Limits, pack_documents
+
+    out = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limits=Limits(2048, 256, 2048))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -38,10 +38,37 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm import toxicity
+    from weftspark.llm.language import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (F.coalesce(fold(F.col("doc_id"), 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
+
+
+def language_model(docs: DataFrame):
+    from weftspark.llm import language
+
+    return language.fit(docs.filter(language.fold(F.col("doc_id"), 4) != 2))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    return out.select("doc_id", (F.coalesce(language.fold(F.col("doc_id"), 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

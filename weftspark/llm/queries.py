@@ -18,6 +18,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.llm.sharding import documents_in_shards
 
@@ -65,6 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op5_html": op5_html,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,

@@ -75,14 +75,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word of the texts, and the n + 1 offsets of the texts' words.
 
-    A word is a maximal run of bytes other than SPACE_BYTES; texts don't run into each other.
+    A word is a maximal run of bytes that ``between`` isn't true of (SPACE_BYTES, unless told
+    otherwise); texts don't run into each other.
     """
     n = len(raw)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[raw], out=inside[:n])
+    np.logical_not(between[raw], out=inside[:n])
     first = inside[:n].copy()
     first[1:] &= ~inside[: n - 1]
     edges = offsets[1:-1]

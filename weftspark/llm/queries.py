@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from weftspark.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm.decontaminate import find_copies
+
+    return find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +24,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.llm.html import extract
 
@@ -70,7 +82,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op3_neighbours": op3_neighbours,
     "op5_html": op5_html,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,

@@ -33,9 +33,9 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 #: Hashed trigrams, those of them that the machines see, and texts looked at together.
-BUCKETS, KEPT, TOGETHER = 1 << 14, 4096, 64
+BUCKETS, KEPT, TOGETHER = 1 << 14, 3072, 64
 #: The bound of the sample: texts per language, and the languages.
-PER_LANGUAGE, LANGUAGES = 1200, 64
+PER_LANGUAGE, LANGUAGES = 800, 64
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
@@ -69,10 +69,12 @@ def unit(counts: np.ndarray) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Weights of a linear hinge-loss machine by dual coordinate descent, and the scale that turns margins into odds."""
+    """Weights of a linear hinge-loss machine by dual coordinate descent, and the scale that turns margins into odds.
+
+    The last column of x is 1, for the bias.
+    """
     n, d = x.shape
-    w, alpha = np.zeros(d + 1, np.float32), np.zeros(n)
-    x = np.concatenate([x, np.ones((n, 1), np.float32)], axis=1)
+    w, alpha = np.zeros(d, np.float32), np.zeros(n)
     norm = np.einsum("ij,ij->i", x, x)
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(rounds):
@@ -116,7 +118,7 @@ class Votes:
         n, k = len(x), len(self.classes)
         if k == 1:
             return np.zeros(n, int), np.ones(n)
-        margins = x @ self.weights[:-1] + self.weights[-1]
+        margins = x @ self.weights
         sure = 1 / (1 + np.exp(-np.clip(margins * self.scales, -30, 30)))
         votes, least = np.zeros((n, k)), np.ones((n, k))
         for m, (a, b) in enumerate(combinations(range(k), 2)):
@@ -134,16 +136,26 @@ class LanguageModel:
     members: dict[str, Votes]
 
     @classmethod
-    def fit(cls, counts: np.ndarray, langs: np.ndarray) -> LanguageModel:
-        x = unit(counts)
-        means = np.stack([x[langs == c].mean(0) for c in sorted(set(langs.tolist()))])
+    def fit(cls, texts: list[tuple[np.ndarray, np.ndarray]], langs: np.ndarray) -> LanguageModel:
+        """From each text's buckets with their counts, and its language."""
+        classes = sorted(set(langs.tolist()))
+        means = np.zeros((len(classes), BUCKETS))
+        for (at, n), lang in zip(texts, langs, strict=True):
+            means[classes.index(lang), at] += np.sqrt(n / n.sum())
+        means /= np.array([[(langs == c).sum()] for c in classes])
         kept = np.sort(np.argsort(-(means.var(0) + 1e-6 * means.mean(0)), kind="stable")[:KEPT])
-        x = np.ascontiguousarray(x[:, kept])
+        place = np.full(BUCKETS, -1)
+        place[kept] = np.arange(len(kept))
+        x = np.zeros((len(texts), len(kept) + 1), np.float32)
+        for i, (at, n) in enumerate(texts):
+            own = place[at] >= 0
+            x[i, place[at][own]] = np.sqrt(n[own] / n.sum())
+        x[:, -1] = 1
         family = np.array([FAMILY_OF.get(c, f"other {c}") for c in langs])
         return cls(kept, Votes.fit(x, family), {f: Votes.fit(x[family == f], langs[family == f]) for f in sorted(set(family.tolist()))})
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
-        x = unit(counts)[:, self.kept]
+        x = np.concatenate([unit(counts)[:, self.kept], np.ones((len(counts), 1), np.float32)], axis=1)
         family, sure = self.families.choose(x)
         langs = np.empty(len(x), object)
         for f, name in enumerate(self.families.classes):
@@ -187,10 +199,8 @@ def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
     if not got:
         return None
-    counts = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<u4")
-    return LanguageModel.fit(counts, np.array([r.lang for r in got]))
+    texts = [(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<u4").astype(np.float32)) for r in got]
+    return LanguageModel.fit(texts, np.array([r.lang for r in got]))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, *, text_column: str = "text") -> DataFrame:

@@ -41,8 +41,8 @@ GROUP_OF = {term: group for group in IDENTITY for term in group}
 
 #: Bounds of the sample by label, features that the model has at most, and lengths of word beginnings.
 TOXIC_ROWS, OTHER_ROWS, FEATURES, BEGINNINGS = 3000, 6000, 512, (4, 5, 6)
-#: A feature must stand in so many labelled texts, and weigh so much (nats of log odds).
-LEAST_TEXTS, LEAST_ODDS = 5, 1.5
+#: A feature must stand in so many labelled texts; its log odds (nats), alone and times the root of its texts, must be so large.
+LEAST_TEXTS, LEAST_ODDS, LEAST_WEIGHT = 5, 1.5, 6.0
 #: Weight of the squared change of the score under a swap; L2 penalty.
 PAIRING, RIDGE = 1.0, 5e-5
 
@@ -86,40 +86,28 @@ def _largest(x: np.ndarray) -> float:
     return 1.2 * float(np.square(x @ v).sum()) / max(1, len(x))
 
 
-def train(texts: list[set[str]], toxic: np.ndarray) -> ToxicityModel:
-    """Choose features by their log odds, then fit weights by accelerated gradient steps."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    counts: dict[str, list[int]] = {}
-    for words, y in zip(texts, toxic, strict=True):
-        for f in {f for w in words for f in features_of(w)}:
-            counts.setdefault(f, [0, 0])[int(y)] += 1
-    weigh = {}
-    for f, (c0, c1) in counts.items():
-        odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-        if c0 + c1 >= LEAST_TEXTS and abs(odds) >= LEAST_ODDS:
-            weigh[f] = abs(odds) * np.sqrt(c1 if odds > 0 else c0)
-    del counts
-    chosen = sorted(sorted(weigh, key=lambda f: (-weigh[f], f))[:FEATURES] + sorted(GROUP_OF.keys() - weigh.keys()))
-    index = {f: i for i, f in enumerate(chosen)}
-
-    def rows(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(chosen)), np.float32)
-        for i, words in enumerate(sets):
-            out[i, [index[f] for f in {f for w in words for f in features_of(w)} if f in index]] = 1
+def train(features: list[str], texts: list[list[int]], swaps: list[list[int] | None], toxic: np.ndarray) -> ToxicityModel:
+    """Weights by accelerated gradient steps, from the features that texts and their swapped forms have."""
+    index = {f: i for i, f in enumerate(features)}
+
+    def rows(sets: list[list[int]]) -> np.ndarray:
+        out = np.zeros((len(sets), len(features)), np.float32)
+        for i, found in enumerate(sets):
+            out[i, found] = 1
         return out
 
     x, y = rows(texts), toxic.astype(np.float32)
-    pairs = [(i, s) for i, s in ((i, swapped(w)) for i, w in enumerate(texts)) if s is not None]
-    shift = x[[i for i, _ in pairs]] - rows([s for _, s in pairs]) if pairs else np.zeros((0, len(chosen)), np.float32)
+    pairs = [i for i, s in enumerate(swaps) if s is not None]
+    shift = [x[pairs] - rows([swaps[i] for i in pairs])]
     # Every two terms of a group are a swap in a sentence that has nothing else, so none weighs more than another.
     for group in IDENTITY:
         for a, b in zip(group, group[1:] + group[:1], strict=True):
-            row = np.zeros((1, len(chosen)), np.float32)
+            row = np.zeros((1, len(features)), np.float32)
             row[0, index[a]], row[0, index[b]] = 1, -1
-            shift = np.concatenate([shift, row])
-    w = v = np.zeros(len(chosen) + 1, np.float32)
-    shift = np.unique(shift, axis=0)
+            shift.append(row)
+    shift = np.unique(np.concatenate(shift), axis=0)
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    w = v = np.zeros(len(features) + 1, np.float32)
     rate = 1 / (0.25 * _largest(x) + RIDGE + 2 * PAIRING * _largest(shift))
     for step in range(500):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
@@ -134,26 +122,43 @@ def fit(labelled: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
     """A model from texts that join labels 0 or 1; None without both labels.
 
     At most ``toxic_rows`` and ``other_rows`` labelled ids are fitted on: those whose hashes
-    are smallest. Of an id with both labels, the larger holds.
+    are smallest. Of an id with both labels, the larger holds. Features are the FEATURES
+    that tell the labels apart best, counted by Spark, and all identity terms.
     """
     one = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(id_column).agg(F.max(label_column).alias("_toxic"))
     ids = pick(one, id_column, {1: toxic_rows, 0: other_rows}, "_toxic")
-    known = one.join(F.broadcast(ids), id_column)
-    bounded = {r[0]: r[1] for r in known.select(id_column, "_toxic").collect()}
-    rows = labelled.join(F.broadcast(ids), id_column).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = labelled.schema[id_column].dataType.simpleString()
+    known = labelled.sparkSession.createDataFrame([tuple(r) for r in one.join(F.broadcast(ids), id_column).select(id_column, "_toxic").collect()], f"id {kind}, toxic int")
+    rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(known), "id").select("text", "toxic")
 
-    def reduce(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text", 1 << 20):
-            words = [" ".join(sorted(word_set(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "words"])
+            found = [sorted({f for w in word_set(t) for f in features_of(w)}) for t in batch.column(0).to_pylist()]
+            toxic = [y for y, f in zip(batch.column(1).to_pylist(), found, strict=True) for _ in f]
+            yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.string()), pa.array(toxic, pa.int32())], names=["f", "toxic"])
 
-    kind = labelled.schema[id_column].dataType.simpleString()
-    got = rows.mapInArrow(reduce, f"id {kind}, words string").collect()
-    got.sort(key=lambda r: (r.id, r.words))
-    shared: dict[str, str] = {}
-    texts = [{shared.setdefault(w, w) for w in r.words.split()} for r in got]
-    toxic = np.array([bounded[r.id] for r in got])
-    return train(texts, toxic) if 0 < toxic.sum() < len(toxic) else None
+    n1, n0 = (known.filter(F.col("toxic") == y).count() for y in (1, 0))
+    if not n1 or not n0:
+        return None
+    counted = rows.mapInArrow(spread, "f string, toxic int").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("c1"))
+    odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("c1") + 0.5) / (n0 + 1))
+    told = counted.filter(F.col("n") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.abs("odds") >= LEAST_ODDS)
+    weight = F.abs("odds") * F.sqrt(F.when(F.col("odds") > 0, F.col("c1")).otherwise(F.col("n") - F.col("c1")))
+    best = [r.f for r in told.filter(weight >= LEAST_WEIGHT).orderBy(F.desc(weight), "f").limit(FEATURES).collect()]
+    features = sorted({*best, *GROUP_OF})
+    index = {f: i for i, f in enumerate(features)}
+
+    def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = lambda words: sorted({index[f] for w in words for f in features_of(w) if f in index})
+        for batch in batches(source, "text", 1 << 20):
+            sets = [word_set(t) for t in batch.column(0).to_pylist()]
+            other = [None if s is None else seen(s) for s in map(swapped, sets)]
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([seen(s) for s in sets], kinds), pa.array(other, kinds)], names=["toxic", "found", "swapped"])
+
+    got = sorted((tuple(r) for r in rows.mapInArrow(place, "toxic int, found array<int>, swapped array<int>").collect()), key=repr)
+    toxic = np.array([g[0] for g in got])
+    return train(features, [g[1] for g in got], [g[2] for g in got], toxic) if got and 0 < toxic.sum() < len(toxic) else None
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, *, threshold: float = 0.7, text_column: str = "text") -> DataFrame:

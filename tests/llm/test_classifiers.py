@@ -37,7 +37,7 @@ def test_toxicity_on_held_out_texts(spark):
     rows = op9_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
     y, p = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
     auc = (p[y == 1][:, None] > p[y == 0][None, :]).mean()
-    assert auc > 0.9 and not any(r.predicted and not r.toxic for r in rows)
+    assert auc > 0.95 and sum(r.predicted > r.toxic for r in rows) <= 0.002 * len(rows) and sum(r.predicted and r.toxic for r in rows) >= 0.85 * sum(y)
 
 
 def test_swapping_an_identity_term_changes_no_score(spark):

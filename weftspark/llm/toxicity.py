@@ -10,7 +10,8 @@ moves no text over the threshold.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +45,7 @@ TOXIC_ROWS, OTHER_ROWS, FEATURES, BEGINNINGS = 3000, 6000, 512, (4, 5, 6)
 #: A feature must stand in so many labelled texts; its log odds (nats), alone and times the root of its texts, must be so large.
 LEAST_TEXTS, LEAST_ODDS, LEAST_WEIGHT = 5, 1.5, 6.0
 #: Weight of the squared change of the score under a swap; L2 penalty.
-PAIRING, RIDGE = 1.0, 5e-5
+PAIRING, RIDGE = 1.0, 2e-5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,6 +59,16 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
 
 
+def with_counts(found: Iterable[str], size: int) -> set[str]:
+    """Features, and for beginnings of 2 or 3 different words in 300 (or in all) also those with that number after them."""
+    counts, least = Counter(found), max(1.0, size / 300)
+    return {*counts, *(f"{f}{m}" for f, n in counts.items() if n > 1 for m in (2, 3) if n >= m * least)}
+
+
+def text_features(words: set[str]) -> set[str]:
+    return with_counts((f for w in words for f in features_of(w)), len(words))
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -123,7 +134,7 @@ def fit(labelled: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
 
     At most ``toxic_rows`` and ``other_rows`` labelled ids are fitted on: those whose hashes
     are smallest. Of an id with both labels, the larger holds. Features are the FEATURES
-    that tell the labels apart best, counted by Spark, and all identity terms.
+    that speak most for label 1, counted by Spark, and all identity terms.
     """
     one = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(id_column).agg(F.max(label_column).alias("_toxic"))
     ids = pick(one, id_column, {1: toxic_rows, 0: other_rows}, "_toxic")
@@ -133,7 +144,7 @@ def fit(labelled: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
 
     def spread(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text", 1 << 20):
-            found = [sorted({f for w in word_set(t) for f in features_of(w)}) for t in batch.column(0).to_pylist()]
+            found = [sorted(text_features(word_set(t))) for t in batch.column(0).to_pylist()]
             toxic = [y for y, f in zip(batch.column(1).to_pylist(), found, strict=True) for _ in f]
             yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.string()), pa.array(toxic, pa.int32())], names=["f", "toxic"])
 
@@ -142,14 +153,14 @@ def fit(labelled: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
         return None
     counted = rows.mapInArrow(spread, "f string, toxic int").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("c1"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("c1") + 0.5) / (n0 + 1))
-    told = counted.filter(F.col("n") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.abs("odds") >= LEAST_ODDS)
-    weight = F.abs("odds") * F.sqrt(F.when(F.col("odds") > 0, F.col("c1")).otherwise(F.col("n") - F.col("c1")))
+    told = counted.filter(F.col("n") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+    weight = F.col("odds") * F.sqrt("c1")
     best = [r.f for r in told.filter(weight >= LEAST_WEIGHT).orderBy(F.desc(weight), "f").limit(FEATURES).collect()]
     features = sorted({*best, *GROUP_OF})
     index = {f: i for i, f in enumerate(features)}
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = lambda words: sorted({index[f] for w in words for f in features_of(w) if f in index})
+        seen = lambda words: sorted(index[f] for f in text_features(words) & index.keys())
         for batch in batches(source, "text", 1 << 20):
             sets = [word_set(t) for t in batch.column(0).to_pylist()]
             other = [None if s is None else seen(s) for s in map(swapped, sets)]
@@ -171,20 +182,22 @@ def score(docs: DataFrame, model: ToxicityModel | None, *, threshold: float = 0.
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights if model else {}
+        counted = {f.rstrip("23") for f in weights}
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches(source, own[at]):
             scores = []
             for text in batch.column(at).to_pylist():
-                found: set[str] = set()
-                for w in word_set(text):
+                found: list[str] = []
+                words = word_set(text)
+                for w in words:
                     f = known.get(w)
                     if f is None:
                         if len(known) > 1 << 20:
                             known.clear()
-                        f = known[w] = tuple(x for x in features_of(w) if x in weights)
+                        f = known[w] = tuple(x for x in features_of(w) if x in counted)
                     if f:
-                        found.update(f)
-                scores.append(model.score(found) if model else 0.0)
+                        found.extend(f)
+                scores.append(model.score(with_counts(found, len(words)) & weights.keys()) if model else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*own, "score", "predicted"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema]

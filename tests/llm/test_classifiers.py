@@ -36,7 +36,8 @@ def test_toxicity_on_held_out_texts(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = op9_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
     y, p = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
-    auc = (p[y == 1][:, None] > p[y == 0][None, :]).mean()
+    high, low = p[y == 1][:, None], p[y == 0][None, :]
+    auc = ((high > low) + 0.5 * (high == low)).mean()
     assert auc > 0.95 and sum(r.predicted > r.toxic for r in rows) <= 0.002 * len(rows) and sum(r.predicted and r.toxic for r in rows) >= 0.85 * sum(y)
 
 

@@ -36,6 +36,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm.substrings import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.llm.sharding import documents_in_shards
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_neighbours": op3_neighbours,
     "op5_html": op5_html,
+    "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,

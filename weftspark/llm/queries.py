@@ -30,6 +30,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.llm.html import extract
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_neighbours": op3_neighbours,
+    "op4_jaccard": op4_jaccard,
     "op5_html": op5_html,
     "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,

@@ -1,15 +1,68 @@
-"""A corpus pipeline over the documents table, a stage at a time."""
+"""From raw documents to packed sequences, a stage at a time.
+
+Each stage takes what the one before kept and returns rows with the columns of documents;
+the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftspark.llm.common import cut, table
+from weftspark.llm.decontaminate import without_copies
+from weftspark.llm.jaccard import near_duplicates
+from weftspark.llm.language import identify
+from weftspark.llm.queries import language_model, packed
+from weftspark.llm.substrings import remove_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those with no letter, or no text, go."""
+    told = identify(docs, language_model(docs))
+    return told.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each component of near duplicates; those without an id stay."""
+    first = near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier; those that are nothing else go."""
+    left = remove_repeats(docs).filter("n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    # A text that has nothing to lose stays as it is, white space included.
+    own = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return left.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return without_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("benchmark", benchmark),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: No SQL: the language, alignment and tokeniser stages are beyond it. tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; each but the last is kept as a checkpoint."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -196,12 +196,13 @@ def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", rejoin: bool = False) -> DataFrame:
     """All rows and columns, the text without repeated words, with ``n_words`` and ``n_removed``.
 
     A word goes if a window of WINDOW words that covers it stands earlier too: in a row of
-    smaller id, or in the same text before. Words are runs of other than ASCII white space;
-    those kept are joined by single spaces. A null text has no word and stays null; rows of
+    smaller id, or in the same text before. Words are runs of other than ASCII white space.
+    Where some go, those kept are joined by single spaces; other texts stay as they are
+    unless ``rejoin``. A null text has no word and stays null; rows of
     one id count as different texts, the one read first being earlier; null ids are
     smallest. Columns named n_words or n_removed are replaced.
     """
@@ -226,7 +227,11 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
         for i in range(batch.num_rows):
             a, b = at[i], at[i + 1]
             k = np.flatnonzero(keep[a:b]) + a
-            out.append(None if isnull[i] else b" ".join([data[x:y] for x, y in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]).decode())
+            if len(k) == b - a and not rejoin:  # nothing goes, so the text stays as it is
+                out.append(None if isnull[i] else data[offsets[i] : offsets[i + 1]].decode())
+                gone.append(0)
+                continue
+            out.append(b" ".join([data[x:y] for x, y in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]).decode())
             gone.append(int(b - a - len(k)))
         columns = [pa.array(out, pa.string()) if c == texts else batch.column(c) for c in range(batch.num_columns)]
         return pa.table([*columns, pa.array(np.diff(at).astype(np.int64)), pa.array(gone, pa.int64())], names=[*own, "n_words", "n_removed"])
@@ -246,5 +251,5 @@ def _frame(blob: bytes) -> int:
 
 def digest(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    out = remove_repeats(docs.select(id_column, "text"), id_column=id_column)
+    out = remove_repeats(docs.select(id_column, "text"), id_column=id_column, rejoin=True)
     return out.select(id_column, "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

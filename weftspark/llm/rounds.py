@@ -73,7 +73,7 @@ def ask(
     reduce: Callable[[list[bytes]], list[bytes | None]],
     gather: Callable[[bytes, list[bytes]], pa.Table],
     schema: str,
-    most: int = 16 << 20,
+    most: int = 4 << 20,
 ) -> DataFrame:
     """One round over ``rows``, in batches of about ``most`` bytes of ``column``."""
     ranges = partitions(rows.sparkSession)

@@ -78,8 +78,8 @@ class Symbols:
 
 def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
     """The levels of a batch of texts, words first; ``at`` has the texts' n + 1 word offsets."""
-    place = np.arange(len(h))
-    level = Symbols(h, np.repeat(np.arange(len(at) - 1), np.diff(at)), place, place + 1, place, place + 1)
+    place = np.arange(len(h), dtype=np.int32)
+    level = Symbols(h, np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at)), place, place + 1, place, place + 1)
     out = [level]
     for k in range(rounds):
         out.append(out[-1].runs().pairs(k))

@@ -43,10 +43,8 @@ def k_view(x: Column, p: int, ps: int, size: int, steps: int = 8) -> Column:
     def turn(v: Column) -> Column:
         return v - v % (p * ps) + (v % ps) * p + _div(v, ps) % p
 
-    out = turn(x)
-    for _ in range(steps):
-        out = F.when(out >= size, turn(out)).otherwise(out)
-    return out.cast("long")
+    # A fold over the steps: nesting the expression in itself would make it grow fourfold with each.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), turn(x).cast("long"), lambda v, _: F.when(v >= size, turn(v)).otherwise(v).cast("long"))
 
 
 def symmetric(m: Column, n: Column, g: Grid, lower: bool = True) -> Column:

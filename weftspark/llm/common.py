@@ -96,12 +96,25 @@ def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes that are summed at once for word fingerprints.
+STRETCH = 1 << 19
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit fingerprints of words, equal for equal bytes wherever they stand."""
-    power, inverse = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * power[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, side="right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        power, inverse = _power(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        part = raw[a:b]
+        np.cumsum(_BYTE[_LOWER[part] if lower else part] * power[: b - a], out=total[1:])
+        first, last = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+        i = j
+    return out
 
 
 def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -96,12 +96,15 @@ def _scatter(batch: pa.RecordBatch, ranges: int) -> tuple[bytes, dict[int, bytes
 
 
 def _reduce(blobs: list[bytes]) -> list[bytes | None]:
-    parts = [stretch(b) for b in blobs]
-    if not parts:
+    if not blobs:
         return []
-    names = [np.cumsum(p[0]) for p in parts]
-    every = np.concatenate(names)
-    marked = np.concatenate([p[1] == p[2][0] for p in parts])
+    names, owners, marks = [], [], []
+    for blob in blobs:
+        name, owner, rows = stretch(blob)
+        names.append(np.cumsum(name))
+        owners.append(owner.astype(np.uint32))
+        marks.append(owner == rows[0])
+    every, marked = np.concatenate(names), np.concatenate(marks)
     by = np.argsort(every, kind="stable")
     same = every[by[1:]] == every[by[:-1]]
     shared = marked.copy()
@@ -109,10 +112,10 @@ def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     shared[by[:-1]] |= same
     out: list[bytes | None] = []
     at = 0
-    for name, p in zip(names, parts, strict=True):
+    for name, owner in zip(names, owners, strict=True):
         own = shared[at : at + len(name)] & ~marked[at : at + len(name)]
         at += len(name)
-        out.append(squeeze(differences(name[own]), p[1][own]) if own.any() else None)
+        out.append(squeeze(differences(name[own]), owner[own]) if own.any() else None)
     return out
 
 

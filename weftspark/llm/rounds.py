@@ -76,7 +76,7 @@ def ask(
     most: int = 4 << 20,
 ) -> DataFrame:
     """One round over ``rows``, in batches of about ``most`` bytes of ``column``."""
-    ranges = partitions(rows.sparkSession)
+    ranges = 2 * partitions(rows.sparkSession)
 
     def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24

@@ -168,14 +168,18 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
 
 
 def _reduce(blobs: list[bytes]) -> list[bytes | None]:
-    parts = [stretch(b) for b in blobs]
-    if not parts:
+    if not blobs:
         return []
-    name = np.concatenate([np.cumsum(p[0]) for p in parts])
-    size = np.array([len(p[0]) for p in parts])
-    print_, row, place = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    doc = np.concatenate([np.cumsum(p[5])[p[2].astype(np.int64)] for p in parts])
-    own = np.repeat(np.arange(len(parts)), size)
+    columns: tuple[list, ...] = ([], [], [], [], [])
+    rows_of = []
+    for blob in blobs:
+        name, print_, row, place, rows, ids = stretch(blob)
+        rows_of.append(rows.astype(np.uint32))
+        for c, v in zip(columns, (np.cumsum(name), print_.astype(np.uint32), row.astype(np.uint32), place.astype(np.uint32), np.cumsum(ids)[row.astype(np.int64)]), strict=True):
+            c.append(v)
+    own = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(x) for x in columns[0]])
+    name, print_, row, place, doc = (np.concatenate(c) for c in columns)
+    del columns
     # Windows whose anchor's name stands alone are unlike all others.
     by = np.argsort(name, kind="stable")
     same = name[by[1:]] == name[by[:-1]]
@@ -188,11 +192,11 @@ def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     later = np.zeros(len(i), bool)
     later[1:] = (name[i[1:]] == name[i[:-1]]) & (print_[i[1:]] == print_[i[:-1]])
     repeats = np.sort(i[later])
-    cuts = np.searchsorted(own[repeats], np.arange(len(parts) + 1))
+    cuts = np.searchsorted(own[repeats], np.arange(len(blobs) + 1))
     out: list[bytes | None] = []
-    for k, p in enumerate(parts):
+    for k, rows in enumerate(rows_of):
         mine = repeats[cuts[k] : cuts[k + 1]]
-        out.append(squeeze(place[mine], p[4][row[mine].astype(np.int64)]) if len(mine) else None)
+        out.append(squeeze(place[mine], rows[row[mine]]) if len(mine) else None)
     return out
 
 

@@ -106,4 +106,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * o.c >= 80 * (x.n + y.n - o.c)),
+r(id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id WHERE r.label < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(label) AS c FROM r GROUP BY id) m ON m.id = d.doc_id""",
+    "op6_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM x) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT t.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY t.p) AS s FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.p = c.p WHERE c.p IS NULL GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op7_sharding": r"""
+WITH RECURSIVE z(k, i, c) AS (SELECT k, 0, k FROM generate_series(0, 255) x(k) UNION ALL SELECT k, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM z WHERE i < 8),
+t AS (SELECT list(c ORDER BY k) AS t FROM z WHERE i = 8),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, t FROM documents, t),
+b AS (SELECT doc_id, len(h) // 2 AS n, t, list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda p: (instr('0123456789ABCDEF', h[2 * p + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * p + 2]) - 1)) AS l FROM h),
+d AS (SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, xor(list_reduce(l, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b),
+j(doc_id, n, k, b, j) AS (SELECT doc_id, n, doc_id::UHUGEINT, -1::BIGINT, 0::BIGINT FROM documents, (VALUES (24), (25)) v(n)
+  UNION ALL SELECT doc_id, n, q, j, CAST(floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((q // 8589934592)::DOUBLE + 1))) AS BIGINT) FROM (SELECT doc_id, n, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS q FROM j WHERE j < n)),
+s AS (SELECT doc_id, max(CASE WHEN n = 24 THEN b END) AS shard, max(CASE WHEN n = 25 THEN b END) AS grown FROM j WHERE j >= n GROUP BY doc_id),
+p AS (SELECT d.*, shard, grown, (xor(d.doc_id, 25214903917)::UHUGEINT * 2862933555777941757 + 1) % 18446744073709551616 // 18014398509481984 AS bucket FROM d JOIN s ON d.doc_id = s.doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(grown AS INTEGER) AS grown_shard FROM p""",
+}

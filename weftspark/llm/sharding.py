@@ -15,6 +15,8 @@ HIGH, LOW = FACTOR >> 32, FACTOR & 0xFFFFFFFF
 LOW_HIGH, LOW_LOW = LOW >> 16, LOW & 0xFFFF
 HIGH_HIGH, HIGH_LOW = HIGH >> 16, HIGH & 0xFFFF
 MASK = 0xFFFFFFFF
+#: Turns a key into another start of the generator.
+SALT = 0x5DEECE66D
 
 
 def _low_product(x: Column, high: int, low: int) -> Column:
@@ -59,6 +61,13 @@ def jump_shards(key: Column, *counts: int) -> Column:
     return F.struct(*(walked[f"n{n}"].cast("int").alias(f"n{n}") for n in counts))
 
 
+def spread(key: Column, buckets: int) -> Column:
+    """A bucket of a long key: the high bits of one step of the generator from another start than shards take."""
+    key = F.coalesce(key.cast("long"), F.lit(0).cast("long")).bitwiseXOR(F.lit(SALT).cast("long"))
+    high, _ = _next(F.shiftrightunsigned(key, 32), key.bitwiseAND(MASK))
+    return F.shiftright(high * buckets, 32).cast("int")
+
+
 def shard(df: DataFrame, key: str, shards: int, *, size: Column | None = None, buckets: int = 1024) -> DataFrame:
     """``df`` with ``shard``, ``grown_shard`` (with one shard more) and ``slot`` (gapless from 0 in a shard).
 
@@ -72,7 +81,7 @@ def shard(df: DataFrame, key: str, shards: int, *, size: Column | None = None, b
     keyed = (
         df.select(*own)
         .withColumn("_n", jump_shards(F.col(key), shards, shards + 1))
-        .withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+        .withColumn("_b", spread(F.col(key), buckets))
         .select(*own, F.col(f"_n.n{shards}").alias("shard"), F.col(f"_n.n{shards + 1}").alias("grown_shard"), "_b")
     )
     counted = keyed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_k"))

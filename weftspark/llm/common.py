@@ -128,6 +128,15 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * inverse[:n] + np.uint64(k))
 
 
+def span_hashes(h: np.ndarray, low: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What gram_hashes gives for the runs of these lengths from these places."""
+    _, inverse = _power(len(h) + 1)
+    power = _powers[0]
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    return mix((total[low + length] - total[low]) * inverse[low] + length.astype(np.uint64))
+
+
 def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts [2, 0, 3]: owners [0, 0, 2, 2, 2] and places within [0, 1, 0, 1, 2]."""
     owner = np.repeat(np.arange(len(counts)), counts)

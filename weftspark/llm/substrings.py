@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import gram_hashes, mix, spans, utf8, word_hashes, words
+from weftspark.llm.common import gram_hashes, mix, span_hashes, spans, utf8, word_hashes, words
 from weftspark.llm.rounds import ask, differences, keep_rows, kept_rows, squeeze, stretch
 
 #: Rounds of renaming, words in a window, bits of an anchor's name that are exchanged.
@@ -96,7 +96,6 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     levels = parse(h, at)
     named = np.zeros(n, np.uint64)
     left = valid.copy()
-    power_names = None
     for depth in range(len(levels) - 1, 0, -1):
         s = levels[depth]
         use = np.flatnonzero(s.high - s.low <= window)
@@ -116,15 +115,9 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
             np.minimum.at(best, w[ok], rank[ok])
         got = np.flatnonzero(left & (best != np.iinfo(np.uint64).max))
         i = use[(best[got] & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        if power_names is None:
-            power_names = {}
-        for length in np.unique(s.high[i] - s.low[i]):
-            if length not in power_names:
-                power_names[length] = gram_hashes(h, int(length))
-            own = s.high[i] - s.low[i] == length
-            lo, w = s.low[i[own]], got[own]
-            shape = ((lo - w) * 64 + (s.begin[i[own]] - lo)).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
-            named[w] = mix(power_names[length][lo]) + (shape << np.uint64(1)) + np.uint64(1)
+        lo, size = s.low[i].astype(np.int64), (s.high[i] - s.low[i]).astype(np.int64)
+        shape = ((lo - got) * 64 + (s.begin[i] - lo)).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
+        named[got] = mix(span_hashes(h, lo, size)) + (shape << np.uint64(1)) + np.uint64(1)
         left[got] = False
     rest = np.flatnonzero(left)
     for i in range(0, len(rest), 1 << 18):

@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from weftspark.plans import graph, live, tiles, trace
+from weftspark.plans import graph, live, programs, tiles, trace
 
-ALL = {**trace.QUERIES, **tiles.QUERIES, **graph.QUERIES, **live.QUERIES}
-SQL = {**trace.SQL, **tiles.SQL, **graph.SQL, **live.SQL}
+ALL = {**trace.QUERIES, **tiles.QUERIES, **graph.QUERIES, **programs.QUERIES, **live.QUERIES}
+SQL = {**trace.SQL, **tiles.SQL, **graph.SQL, **programs.SQL, **live.SQL}
 
 
 @pytest.fixture(scope="module")

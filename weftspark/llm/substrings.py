@@ -87,7 +87,10 @@ def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
 
 
 def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Name of each window's anchor, with its place in the window, by the window's first word; and which windows there are."""
+    """Name of each window's anchor, by the window's first word; and which windows there are.
+
+    Equal windows have equal anchors; windows that overlap often share one.
+    """
     n = len(h)
     valid = np.zeros(n, bool)
     for_text = np.maximum(np.diff(at) - window + 1, 0)
@@ -116,15 +119,15 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
         got = np.flatnonzero(left & (best != np.iinfo(np.uint64).max))
         i = use[(best[got] & np.uint64((1 << 24) - 1)).astype(np.int64)]
         lo, size = s.low[i].astype(np.int64), (s.high[i] - s.low[i]).astype(np.int64)
-        shape = ((lo - got) * 64 + (s.begin[i] - lo)).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
-        named[got] = mix(span_hashes(h, lo, size)) + (shape << np.uint64(1)) + np.uint64(1)
+        shape = (s.begin[i] - lo).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
+        named[got] = mix(span_hashes(h, lo, size) + shape)
         left[got] = False
     rest = np.flatnonzero(left)
     for i in range(0, len(rest), 1 << 18):
         w = rest[i : i + (1 << 18)]
         block = h[w[:, None] + np.arange(window)]
         k = np.argmin(block, axis=1)
-        named[w] = mix(block[np.arange(len(w)), k]) + (k.astype(np.uint64) << np.uint64(10))
+        named[w] = mix(block[np.arange(len(w)), k])
     return named, valid
 
 
@@ -137,7 +140,7 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
     h = word_hashes(raw, starts, ends)
     name, valid = anchors(h, at)
     w = np.flatnonzero(valid)
-    name, print_ = mix(name[w]), gram_hashes(h, WINDOW, 17)[w]
+    name, print_ = name[w], gram_hashes(h, WINDOW, 17)[w]
     # Of equal windows in the batch only the earliest asks; the others are known to be repeats.
     whole = mix(name ^ print_)
     by = np.argsort(whole, kind="stable")
@@ -145,17 +148,23 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
     again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
     covered = w[again]
     w, name, print_ = w[~again], name[~again] >> np.uint64(64 - BITS), print_[~again] >> np.uint64(32)
-    text = np.searchsorted(at, w, "right") - 1
-    by = np.argsort(name, kind="stable")
-    r = (name[by] // np.uint64(-(-(1 << BITS) // ranges))).astype(np.int64)
-    cuts = np.searchsorted(r, np.arange(ranges + 1))
+    # Neighbouring windows of one anchor are sent as a run: the anchor once, and a print for each.
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1] + 1) | (name[1:] != name[:-1])
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(w)))
+    by = np.argsort(name[begin], kind="stable")
+    begin, count = begin[by], count[by]
+    name, text = name[begin], np.searchsorted(at, w[begin], "right") - 1
+    cuts = np.searchsorted((name // np.uint64(-(-(1 << BITS) // ranges))).astype(np.int64), np.arange(ranges + 1))
     ids_blob = np.ascontiguousarray(key).view(np.uint64) + np.uint64(1 << 63)
     sent = {}
     for i in range(ranges):
-        own = by[cuts[i] : cuts[i + 1]]
-        if len(own):
+        own = slice(cuts[i], cuts[i + 1])
+        if cuts[i + 1] > cuts[i]:
             rows, inverse = np.unique(text[own], return_inverse=True)
-            sent[i] = squeeze(differences(name[own]), print_[own], inverse, (w - at[text])[own], rows, differences(ids_blob[rows]))
+            run, within = spans(count[own])
+            sent[i] = squeeze(differences(name[own]), inverse, w[begin[own]] - at[text[own]], count[own], rows, differences(ids_blob[rows]), print_[begin[own][run] + within])
     row = np.searchsorted(at, covered, "right") - 1
     return squeeze(covered - at[row], row) + keep_rows(batch), sent
 
@@ -163,15 +172,15 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
 def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     if not blobs:
         return []
-    columns: tuple[list, ...] = ([], [], [], [], [])
+    columns: tuple[list, ...] = ([], [], [], [], [], [])
     rows_of = []
     for blob in blobs:
-        name, print_, row, place, rows, ids = stretch(blob)
+        name, row, place, count, rows, ids, print_ = stretch(blob)
         rows_of.append(rows.astype(np.uint32))
-        for c, v in zip(columns, (np.cumsum(name), print_.astype(np.uint32), row.astype(np.uint32), place.astype(np.uint32), np.cumsum(ids)[row.astype(np.int64)]), strict=True):
+        for c, v in zip(columns, (np.cumsum(name), row.astype(np.uint32), place.astype(np.uint32), count.astype(np.int64), np.cumsum(ids)[row.astype(np.int64)], print_.astype(np.uint32)), strict=True):
             c.append(v)
     own = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(x) for x in columns[0]])
-    name, print_, row, place, doc = (np.concatenate(c) for c in columns)
+    name, row, place, count, doc, print_ = (np.concatenate(c) for c in columns)
     del columns
     # Windows whose anchor's name stands alone are unlike all others.
     by = np.argsort(name, kind="stable")
@@ -179,12 +188,16 @@ def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     shared = np.zeros(len(name), bool)
     shared[by[1:]] |= same
     shared[by[:-1]] |= same
-    i = np.flatnonzero(shared)
-    order = np.lexsort((place[i], own[i], doc[i], print_[i], name[i]))
-    i = i[order]
-    later = np.zeros(len(i), bool)
-    later[1:] = (name[i[1:]] == name[i[:-1]]) & (print_[i[1:]] == print_[i[:-1]])
-    repeats = np.sort(i[later])
+    begin = np.cumsum(count) - count
+    runs = np.flatnonzero(shared)
+    i, within = spans(count[runs])
+    i = runs[i]
+    print_, place = print_[begin[i] + within], place[i] + within.astype(np.uint32)
+    name, row, doc, own = name[i], row[i], doc[i], own[i]
+    order = np.lexsort((place, own, doc, print_, name))
+    later = np.zeros(len(order), bool)
+    later[1:] = (name[order[1:]] == name[order[:-1]]) & (print_[order[1:]] == print_[order[:-1]])
+    repeats = np.sort(order[later])
     cuts = np.searchsorted(own[repeats], np.arange(len(blobs) + 1))
     out: list[bytes | None] = []
     for k, rows in enumerate(rows_of):

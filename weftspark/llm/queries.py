@@ -126,7 +126,7 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
     "op7_sharding": r"""
 WITH RECURSIVE z(k, i, c) AS (SELECT k, 0, k FROM generate_series(0, 255) x(k) UNION ALL SELECT k, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM z WHERE i < 8),
 t AS (SELECT list(c ORDER BY k) AS t FROM z WHERE i = 8),
-h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, t FROM documents, t),
+h AS (SELECT doc_id, string_split(hex(encode(coalesce(text, ''))), '') AS h, t FROM documents, t),
 b AS (SELECT doc_id, len(h) // 2 AS n, t, list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda p: (instr('0123456789ABCDEF', h[2 * p + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * p + 2]) - 1)) AS l FROM h),
 d AS (SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, xor(list_reduce(l, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b),
 j(doc_id, n, k, b, j) AS (SELECT doc_id, n, doc_id::UHUGEINT, -1::BIGINT, 0::BIGINT FROM documents, (VALUES (24), (25)) v(n)

@@ -31,7 +31,9 @@ from weftspark.llm.substrings import _frame
 #: Words in a shingle; the similarity as a fraction; bits of a shingle's name.
 SHINGLE, OVER, UNDER, BITS = 5, 4, 5, 48
 #: Bands of minimal hashes for pivots, rows of a pivot that meet in one place, shingles a prefix may gain.
-BANDS, PLACE, LONGER = 8, 1024, 3
+BANDS, PLACE, LONGER = 8, 128, 3
+#: Parts that the rows of one key are dealt to when they meet a table with a row per key.
+DEAL = 16
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +142,12 @@ def _allowed(n: np.ndarray, lone: np.ndarray, m: np.ndarray, other: np.ndarray)
     return UNDER * most >= OVER * (n + m - most)
 
 
+def _dealt_join(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Join to a narrow table with a row per key, where a key may have a large share of the rows."""
+    copies = one.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    return rows.withColumn("_d", F.pmod(F.xxhash64(by), F.lit(DEAL)).cast("int")).join(copies, [key, "_d"]).drop("_d")
+
+
 def _bands(sets: DataFrame) -> DataFrame:
     """(key, id, lone): bands of minimal hashes of the shared shingles."""
 
@@ -164,7 +172,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sets are similar. Many pairs may have one b: they are dealt to several places."""
     spark = pairs.sparkSession
     places = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PLACE).cast("int").alias("places"))
-    dealt = pairs.join(places, "b").withColumn("place", F.pmod(F.xxhash64("a"), F.col("places")).cast("int"))
+    dealt = _dealt_join(pairs, places, "b", "a").withColumn("place", F.pmod(F.xxhash64("a"), F.col("places")).cast("int"))
     bucket = F.pmod(F.xxhash64("b", "place"), F.lit(4 * partitions(spark))).cast("int").alias("bucket")
     left = dealt.join(sets.select(F.col("id").alias("a"), "n", "names"), "a").select(bucket, "a", "b", "n", "names")
     copies = places.join(sets.select(F.col("id").alias("b"), "n", "names"), "b").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
@@ -277,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     sets = sets.select("id", "n", "lone", "names")
     keys = cut(_bands(sets).distinct())
     pivots = keys.groupBy("key").agg(F.min(F.struct("lone", "id")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("p.id").alias("b"))
-    votes = keys.join(pivots, "key").filter("id <> b").groupBy("id", "b").count()
+    votes = _dealt_join(keys, pivots, "key", "id").filter("id <> b").groupBy("id", "b").count()
     near = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
     linked = cut(_similar(near, sets))
     labels = components(linked)

@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from weftspark.llm import substrings
 from weftspark.llm.rounds import differences, squeeze, stretch
-from weftspark.llm.substrings import WINDOW, anchors, digest, remove_repeats
+from weftspark.llm.substrings import WINDOW, anchored, anchors, digest, remove_repeats
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,3 +79,36 @@ def test_odd_rows(spark):
     rows = sorted((r.doc_id or 0, r.text, r.n_words, r.n_removed) for r in remove_repeats(df).collect() if r.text is not None)
     assert rows == [(0, text, 30, 0), (3, "", 30, 30), (3, "", 30, 30)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def sent(print_, offset=0):
+    """A blob of one window with this print, as a text of its own."""
+    one = np.ones(1, np.uint64)
+    return squeeze(one * np.uint64(77), one * np.uint64(0), one * np.uint64(3), one * np.uint64(offset), one, one * np.uint64(0), one * np.uint64(5), np.array([print_], np.uint64))
+
+
+def test_windows_are_compared_by_whole_prints_and_the_anchors_place():
+    whole = 0x1234567890ABCDEF
+    answers = substrings._reduce([sent(whole), sent(whole), sent(whole ^ 1), sent(whole, 4)])
+    assert [a is not None for a in answers] == [False, True, False, False]
+    assert [x.tolist() for x in stretch(answers[1])] == [[3], [0]]
+
+
+def test_prints_are_sent_whole(monkeypatch):
+    real = substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda h, k, seed=0: np.arange(len(real(h, k, seed)), dtype=np.uint64) + np.uint64(1 << 63))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(60))])], names=["doc_id", "text"])
+    _, blobs = substrings._scatter(batch, 1, 0, 1)
+    assert sorted(stretch(blobs[0])[-1].tolist()) == [(1 << 63) + i for i in range(41)]
+
+
+def test_equal_windows_have_anchors_at_equal_places():
+    g = np.random.default_rng(3)
+    for alphabet in (2, 5, 1000):
+        h = g.integers(0, 2**63, alphabet).astype(np.uint64)[g.integers(0, alphabet, 3000)]
+        h = np.concatenate([h, h[500:900]])
+        name, offset, valid = anchored(h, np.array([0, len(h)]))
+        seen = {}
+        for i in np.flatnonzero(valid):
+            assert offset[i] < WINDOW
+            assert seen.setdefault(tuple(h[i : i + WINDOW].tolist()), (name[i], offset[i])) == (name[i], offset[i])

@@ -9,8 +9,8 @@ forced it (its context): a window that holds the context holds the symbol in eve
 A window of w words is known by the highest symbols it holds: the one of least name is its
 anchor. Equal windows have equal anchors at equal places, so windows need to be compared
 only where an anchor's context stands more than once. Anchors are exchanged by name with
-the fingerprints of their windows, the earliest of equal windows stays, and the words
-of all others are removed.
+the places in their windows and the windows' whole fingerprints, the earliest of equal
+windows stays, and the words of all others are removed.
 """
 
 from __future__ import annotations
@@ -87,9 +87,15 @@ def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
 
 
 def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Name of each window's anchor, by the window's first word; and which windows there are.
+    """Name of each window's anchor, by the window's first word; and which windows there are."""
+    name, _, valid = anchored(h, at, window)
+    return name, valid
 
-    Equal windows have equal anchors; windows that overlap often share one.
+
+def anchored(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name of each window's anchor and its place in the window, by the window's first word; and which windows there are.
+
+    Equal windows have equal anchors at equal places; windows that overlap often share one.
     """
     n = len(h)
     valid = np.zeros(n, bool)
@@ -97,7 +103,7 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     owner, within = spans(for_text)
     valid[at[owner] + within] = True
     levels = parse(h, at)
-    named = np.zeros(n, np.uint64)
+    named, offset = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
     left = valid.copy()
     for depth in range(len(levels) - 1, 0, -1):
         s = levels[depth]
@@ -121,6 +127,7 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
         lo, size = s.low[i].astype(np.int64), (s.high[i] - s.low[i]).astype(np.int64)
         shape = (s.begin[i] - lo).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
         named[got] = mix(span_hashes(h, lo, size) + shape)
+        offset[got] = lo - got
         left[got] = False
     rest = np.flatnonzero(left)
     for i in range(0, len(rest), 1 << 18):
@@ -128,7 +135,8 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
         block = h[w[:, None] + np.arange(window)]
         k = np.argmin(block, axis=1)
         named[w] = mix(block[np.arange(len(w)), k])
-    return named, valid
+        offset[w] = k
+    return named, offset, valid
 
 
 def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[bytes, dict[int, bytes]]:
@@ -138,19 +146,19 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
     raw, offsets = utf8(batch.column(texts))
     starts, ends, at = words(raw, offsets)
     h = word_hashes(raw, starts, ends)
-    name, valid = anchors(h, at)
+    name, offset, valid = anchored(h, at)
     w = np.flatnonzero(valid)
-    name, print_ = name[w], gram_hashes(h, WINDOW, 17)[w]
+    name, offset, print_ = name[w], offset[w], gram_hashes(h, WINDOW, 17)[w]
     # Of equal windows in the batch only the earliest asks; the others are known to be repeats.
     whole = mix(name ^ print_)
     by = np.argsort(whole, kind="stable")
     again = np.zeros(len(w), bool)
     again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
     covered = w[again]
-    w, name, print_ = w[~again], name[~again] >> np.uint64(64 - BITS), print_[~again] >> np.uint64(32)
-    # Neighbouring windows of one anchor are sent as a run: the anchor once, and a print for each.
+    w, name, offset, print_ = w[~again], name[~again] >> np.uint64(64 - BITS), offset[~again], print_[~again]
+    # Neighbouring windows of one anchor are sent as a run: the anchor and its place in the first once, and a print for each.
     new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1] + 1) | (name[1:] != name[:-1])
+    new[1:] = (w[1:] != w[:-1] + 1) | (name[1:] != name[:-1]) | (w[1:] + offset[1:] != w[:-1] + offset[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(w)))
     by = np.argsort(name[begin], kind="stable")
@@ -164,7 +172,7 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
         if cuts[i + 1] > cuts[i]:
             rows, inverse = np.unique(text[own], return_inverse=True)
             run, within = spans(count[own])
-            sent[i] = squeeze(differences(name[own]), inverse, w[begin[own]] - at[text[own]], count[own], rows, differences(ids_blob[rows]), print_[begin[own][run] + within])
+            sent[i] = squeeze(differences(name[own]), inverse, w[begin[own]] - at[text[own]], offset[begin[own]], count[own], rows, differences(ids_blob[rows]), print_[begin[own][run] + within])
     row = np.searchsorted(at, covered, "right") - 1
     return squeeze(covered - at[row], row) + keep_rows(batch), sent
 
@@ -172,15 +180,15 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
 def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     if not blobs:
         return []
-    columns: tuple[list, ...] = ([], [], [], [], [], [])
+    columns: tuple[list, ...] = ([], [], [], [], [], [], [])
     rows_of = []
     for blob in blobs:
-        name, row, place, count, rows, ids, print_ = stretch(blob)
+        name, row, place, offset, count, rows, ids, print_ = stretch(blob)
         rows_of.append(rows.astype(np.uint32))
-        for c, v in zip(columns, (np.cumsum(name), row.astype(np.uint32), place.astype(np.uint32), count.astype(np.int64), np.cumsum(ids)[row.astype(np.int64)], print_.astype(np.uint32)), strict=True):
+        for c, v in zip(columns, (np.cumsum(name), row.astype(np.uint32), place.astype(np.uint32), offset.astype(np.uint8), count.astype(np.int64), np.cumsum(ids)[row.astype(np.int64)], print_), strict=True):
             c.append(v)
     own = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(x) for x in columns[0]])
-    name, row, place, count, doc, print_ = (np.concatenate(c) for c in columns)
+    name, row, place, offset, count, doc, print_ = (np.concatenate(c) for c in columns)
     del columns
     # Windows whose anchor's name stands alone are unlike all others.
     by = np.argsort(name, kind="stable")
@@ -193,7 +201,9 @@ def _reduce(blobs: list[bytes]) -> list[bytes | None]:
     i, within = spans(count[runs])
     i = runs[i]
     print_, place = print_[begin[i] + within], place[i] + within.astype(np.uint32)
-    name, row, doc, own = name[i], row[i], doc[i], own[i]
+    # An anchor's name with its place in the window, which is one less in each window of a run.
+    name = name[i] * np.uint64(WINDOW) + (offset[i] - within).astype(np.uint64)
+    row, doc, own = row[i], doc[i], own[i]
     order = np.lexsort((place, own, doc, print_, name))
     later = np.zeros(len(order), bool)
     later[1:] = (name[order[1:]] == name[order[:-1]]) & (print_[order[1:]] == print_[order[:-1]])

@@ -112,3 +112,14 @@ def test_equal_windows_have_anchors_at_equal_places():
         for i in np.flatnonzero(valid):
             assert offset[i] < WINDOW
             assert seen.setdefault(tuple(h[i : i + WINDOW].tolist()), (name[i], offset[i])) == (name[i], offset[i])
+
+
+def test_a_text_may_have_more_symbols_than_24_bits_count(monkeypatch):
+    n = (1 << 24) + 40
+    h = np.random.default_rng(5).integers(0, 2**63, n).astype(np.uint64)
+    h[-40:] = h[1000:1040]
+    place = np.arange(n - WINDOW + 1, dtype=np.int32)
+    level = substrings.Symbols(h[place], place * 0, place, place + 1, place, place + WINDOW)
+    monkeypatch.setattr(substrings, "parse", lambda h, at: [level, level])
+    name, _ = anchors(h, np.array([0, n]))
+    assert (name[1000:1021] == name[n - 40 : n - 19]).all()

@@ -116,14 +116,17 @@ def anchored(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nd
         if not len(use):
             continue
         low, high = s.low[use], s.high[use]
-        rank = (s.name[use] >> np.uint64(24) << np.uint64(24)) | np.arange(len(use), dtype=np.uint64)
-        best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        # Ranks are by name, then place.
+        by = np.argsort(s.name[use], kind="stable")
+        rank = np.empty(len(use), np.int64)
+        rank[by] = np.arange(len(use))
+        best = np.full(n, len(use), np.int64)
         for t in range(window - int((high - low).min()) + 1):
             w = high - window + t
             ok = np.flatnonzero((w <= low) & (w >= 0) & (w < n))
             np.minimum.at(best, w[ok], rank[ok])
-        got = np.flatnonzero(left & (best != np.iinfo(np.uint64).max))
-        i = use[(best[got] & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        got = np.flatnonzero(left & (best < len(use)))
+        i = use[by[best[got]]]
         lo, size = s.low[i].astype(np.int64), (s.high[i] - s.low[i]).astype(np.int64)
         shape = (s.begin[i] - lo).astype(np.uint64) * np.uint64(8) + np.uint64(depth)
         named[got] = mix(span_hashes(h, lo, size) + shape)

@@ -1,7 +1,7 @@
 import json
 import re
 
-from weftspark.llm.html import TEXT, Wrapper, align, cores, extract, fold, tokens, wrappers
+from weftspark.llm.html import TEXT, Matcher, Wrapper, align, cores, extract, fold, tokens, wrappers
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><p>Site</p></header><nav><ul><li><a href="/a">One</a></li><li><a>Two</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -60,3 +60,44 @@ def test_table_and_odd_rows(spark, sf):
         assert got[r.page_id] == "\n".join(p for p in parts if p)
     for r in wrappers(pages).collect():
         assert "article" in json.dumps(json.loads(r.wrapper))
+
+
+# A host without an element or a class word that would tell its menu, notice and advert from its text.
+PLAIN = "<html><body><div><a>Home</a> <a>News</a></div><ul><li><a>{0} one</a></li><li><a>{0} two</a></li></ul><div><h2><a>Title {0}</a></h2><p>Text {0}, long enough to be one.</p><p>More <a>of</a> {0}.</p></div><div>We use biscuits.</div></body></html>"
+LEFT = "Title {0}\nText {0}, long enough to be one.\nMore of {0}."
+
+
+def test_the_hosts_pages_decide_what_elements_do_not_tell(spark):
+    kinds = ["a", "b", "c", "d"]
+    rows = [(i, "http://plain.x/", PLAIN.format(k)) for i, k in enumerate(kinds)] + [(9, "http://lone.x/", PLAIN.format("z"))]
+    # Copies of one page don't make its text the template's.
+    rows += [(20 + i, "http://copies.x/", "<div><p>One and the same.</p></div>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert [got[i] for i in range(4)] == [LEFT.format(k) for k in kinds]
+    assert "We use biscuits." in got[9] and "z one" not in got[9]  # one page can't vary, but has a repeated group of links
+    assert all(got[20 + i] == "One and the same." for i in range(5))
+
+
+def test_a_wrong_or_empty_wrapper_gives_another_text(spark):
+    df = spark.createDataFrame([(i, "http://plain.x/", PLAIN.format(k)) for i, k in enumerate("abc")], "page_id long, url string, html string")
+    right = Wrapper(*json.loads(wrappers(df).first().wrapper))
+    page = tokens(PLAIN.format("a"))
+    assert right.text(page) == LEFT.format("a")
+    assert Wrapper([]).text(page) != LEFT.format("a") != Wrapper(fold(stream("<p>a")), [-2]).text(page)
+
+
+def test_streams_fill_the_slots_of_their_wrapper():
+    both = align(fold(stream("<div><h1>a</h1><p>b</p></div>")), fold(stream("<div><p>b</p><p>c</p></div>")))
+    m = Matcher(both)
+    assert m.slots == 2
+    assert m.fills(stream("<div><h1>z</h1><p>b</p><p>c</p></div>")) == [0, 1, 1]
+    assert m.fills(stream("<div><p>b</p></div>")) == [1]
+    assert m.fills(stream("<div><b>b</b></div>")) is None
+
+
+def test_every_page_matches_its_hosts_wrapper(spark, sf):
+    host = re.compile("//([^/?#]*)")
+    found = {r.host: Matcher(json.loads(r.wrapper)[0]) for r in wrappers(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert found[host.search(r.url)[1].lower()].fills(stream(r.html)) is not None

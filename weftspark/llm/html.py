@@ -6,12 +6,14 @@ differ,
   * two texts become a text slot;
   * a part that repeats what stands before it becomes a repeated group;
   * a part that only one stream has becomes an optional group.
-The wrapper's slots are judged once by the elements they stand in, and a page's text is
-what fills the slots of the article.
+A page is matched to its host's wrapper, which tells the slot that each text fills. Slots are
+judged by what fills them over the host's pages (whether it varies, whether the slot is
+repeated, how much of it is links) and by the elements that the text stands in, and a
+page's text is what fills the slots of the article.
 
 Page streams are first folded (neighbouring equal groups become one repeated group), and
 equal folded streams of a host are merged as they are read, so what is exchanged and aligned
-are a host's different shapes. They are aligned in ``SALTS`` separate groups by host and
+are a host's different shapes, each with the evidence on its slots. They are aligned in ``SALTS`` separate groups by host and
 shape, then those groups' wrappers with one another, so no task holds a host's pages.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +43,8 @@ BESIDE = frozenset("nav header footer aside form menu dialog button select field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = ("article", "main")
+#: Pages of a host from which content that never varies counts as the template's.
+ENOUGH = 3
 #: Words of a class, id or role that mark something beside the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice alert disclaimer "
@@ -249,40 +254,178 @@ def in_article(path: tuple[str, ...], main: str | None) -> bool:
     return inside
 
 
-class Wrapper:
-    """A host's wrapper; its text slots are judged once."""
+class Matcher:
+    """Tells which of a wrapper's slots each text of a stream fills.
 
-    def __init__(self, items: Items) -> None:
-        self.items = items
-        self.slots: dict[tuple[tuple[str, ...], str | None], bool] = {}
-        self._judge(items, Path())
+    The wrapper is run as an automaton whose states are made as streams ask for them; groups
+    are entered rather than passed by where both would do.
+    """
 
-    def _judge(self, items: Items, path: Path) -> None:
+    def __init__(self, items: Items) -> None:
+        self.ops: list[tuple] = []
+        self.slots = 0
+        self._emit(items)
+        self.ops.append(("end",))
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.steps: list[dict[str, tuple[int, tuple[int, ...]]]] = []
+        self.begin = self._state([(0, 0)])[0]
+
+    def _emit(self, items: Items) -> None:
         for i in items:
-            if isinstance(i, list):
-                self._judge(i[1], path)
-            elif i == TEXT:
-                for main in (*MAIN, None):
-                    self._of(tuple(path.open), main)
+            if isinstance(i, str):
+                self.ops.append(("one", i, self.slots if i == TEXT else -1))
+                self.slots += i == TEXT
+                continue
+            at = len(self.ops)
+            if i[0] != "+":
+                self.ops.append(())
+            self._emit(i[1])
+            if i[0] == "+":
+                self.ops.append(("either", at, len(self.ops) + 1))
             else:
-                path.step(i)
+                if i[0] == "*":
+                    self.ops.append(("either", at, at))
+                self.ops[at] = ("either", at + 1, len(self.ops))
+
+    def _state(self, starts: list[tuple[int, int]]) -> tuple[int, tuple[int, ...]]:
+        """The state of all places that are reached from these, and which of these each is reached from."""
+        found: dict[int, int] = {}
+        seen: set[int] = set()
+        stack = starts[::-1]
+        while stack:
+            at, parent = stack.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            op = self.ops[at]
+            if op[0] == "either":
+                stack += [(op[2], parent), (op[1], parent)]
+            else:
+                found[at] = parent
+        key = tuple(found)
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+        return self.number[key], tuple(found.values())
+
+    def fills(self, shapes: list[str]) -> list[int] | None:
+        """The slot of each text; None if the wrapper doesn't match the stream."""
+        now, trail = self.begin, []
+        for shape in shapes:
+            step = self.steps[now].get(shape)
+            if step is None:
+                step = self._state([(at + 1, k) for k, at in enumerate(self.states[now]) if self.ops[at][0] == "one" and self.ops[at][1] == shape])
+                self.steps[now][shape] = step
+            trail.append((now, step[1]))
+            now = step[0]
+            if not step[1]:
+                return None
+        end = len(self.ops) - 1
+        if end not in self.states[now]:
+            return None
+        k, out = self.states[now].index(end), []
+        for (state, parents), shape in zip(reversed(trail), reversed(shapes), strict=True):
+            k = parents[k]
+            if shape == TEXT:
+                out.append(self.ops[self.states[state][k]][2])
+        return out[::-1]
+
+
+# Evidence on a slot: pages that fill it, and texts; characters of the blocks these stand in, and those in links;
+# the least and greatest checksum of a page's blocks there, and of the longest text of a page that fills it.
+NOTHING = [0, 0, 0, 0, 1 << 32, -1, 1 << 32, -1]
+
+
+def add(a: list[int], b: list[int]) -> list[int]:
+    return [x + y for x, y in zip(a[:4], b[:4], strict=True)] + [min(a[4], b[4]), max(a[5], b[5]), min(a[6], b[6]), max(a[7], b[7])]
+
+
+def evidence(page: list[tuple[str, str]], slots: list[int]) -> dict[int, list[int]]:
+    """What a page says on the slots that its texts fill."""
+    long = zlib.crc32(max((t for s, t in page if s == TEXT), key=len, default="").strip().encode("utf-8", "replace"))
+    out: dict[int, list[int]] = {}
+    block: list[tuple[int, str]] = []
+    links, linked, at = 0, False, 0
+
+    def close() -> None:
+        whole = "\n".join(t for _, t in block)
+        data, chars = whole.encode("utf-8", "replace"), len(whole) - len(block) + 1
+        for slot in {s for s, _ in block}:
+            e = out.setdefault(slot, [1, 0, 0, 0, 0, 0, long, long])
+            e[2] += chars
+            e[3] += links
+            e[4] = e[5] = zlib.crc32(data, e[4])
+        for slot, _ in block:
+            out[slot][1] += 1
+
+    for shape, text in [*page, ("/body", "")]:
+        if shape == TEXT:
+            text = text.strip()
+            block.append((slots[at], text))
+            links += len(text) * linked
+            at += 1
+            continue
+        name = shape.lstrip("/").split(" ")[0]
+        if name == "a":
+            linked = shape[0] != "/"
+        elif name in BLOCK:
+            close()
+            block, links = [], 0
+    return out
+
 
-    def _of(self, path: tuple[str, ...], main: str | None) -> bool:
-        kept = self.slots.get((path, main))
+def once(items: Items) -> list[str]:
+    """A stream that the wrapper matches and that fills each slot once."""
+    return [x for i in items for x in (once(i[1]) if isinstance(i, list) else [i])]
+
+
+def carried(items: Items, known: list[list[int]], matcher: Matcher, into: list[list[int]]) -> None:
+    """Adds the evidence on a wrapper's slots to that on the slots of one it was aligned into."""
+    for slot, e in zip(matcher.fills(once(items)) or [], known, strict=False):
+        into[slot] = add(into[slot], e)
+
+
+def points(known: list[list[int]]) -> list[int]:
+    """What the host's pages say on each slot: below 0 for a template's or a menu's."""
+    out = []
+    for pages, texts, chars, links, low, high, least, most in known:
+        same = pages >= ENOUGH and low == high and least != most  # copies of one page tell nothing
+        menu = texts >= 2 * pages > 0 and 2 * links > chars
+        out.append(-2 * same - 2 * menu)
+    return out
+
+
+class Wrapper:
+    """A host's wrapper, with what the host's pages say on its slots (nothing, unless told)."""
+
+    def __init__(self, items: Items, said: list[int] | None = None) -> None:
+        self.items = items
+        self.matcher = Matcher(items)
+        self.said = said or [0] * self.matcher.slots
+        self.kept: dict[tuple[tuple[str, ...], str | None, int], bool] = {}
+
+    def _of(self, path: tuple[str, ...], main: str | None, said: int) -> bool:
+        """Whether a text is the article's: an element beside an article outweighs all, an article's outweighs one point against it."""
+        key = path, main, said
+        kept = self.kept.get(key)
         if kept is None:
-            if len(self.slots) > 1 << 16:
-                self.slots.clear()
-            kept = self.slots[path, main] = in_article(path, main)
+            if len(self.kept) > 1 << 16:
+                self.kept.clear()
+            kept = self.kept[key] = in_article(path, main) and said + 2 * (main is not None) >= 0
         return kept
 
     def text(self, page: list[tuple[str, str]]) -> str:
-        """The page's blocks in the article's slots, one to a line."""
+        """The page's blocks in the article's slots, one to a line; a page that the wrapper doesn't match is judged by its elements."""
         names = {s.split(" ")[0] for s, _ in page}
         main = next((m for m in MAIN if m in names), None)
+        fills = iter(self.matcher.fills([s for s, _ in page]) or [])
         blocks, now, path = [], [], Path()
         for shape, text in page:
             if shape == TEXT:
-                if self._of(tuple(path.open), main):
+                slot = next(fills, None)
+                if self._of(tuple(path.open), main, 0 if slot is None else self.said[slot]):
                     now.append(text)
                 continue
             name = shape.lstrip("/").split(" ")[0]
@@ -297,28 +440,54 @@ class Wrapper:
 
 
 def wrappers(pages: DataFrame, *, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """A row for each host: ``host`` and its wrapper as JSON."""
+    """A row for each host: ``host`` and its wrapper as JSON, items and then the points of their slots."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
 
     def shapes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "html", 8 << 20):
-            seen: set[tuple[str, str]] = set()
+            seen: dict[tuple[str, str], list[list[int]]] = {}
+            known: dict[str, Matcher] = {}
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.add((h, json.dumps(fold([s for s, _ in tokens(page or "")]))))
+                stream = tokens(page or "")
+                bare = [s for s, _ in stream]
+                items = fold(bare)
+                shape = json.dumps(items)
+                matcher = known.get(shape) or known.setdefault(shape, Matcher(items))
+                said = seen.setdefault((h, shape), [NOTHING] * matcher.slots)
+                fills = matcher.fills(bare)
+                for slot, e in (evidence(stream, fills) if fills else {}).items():
+                    said[slot] = add(said[slot], e)
             rows = sorted(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "shape"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)] + [pa.array([json.dumps(seen[r]) for r in rows], pa.string())], names=["host", "shape", "said"])
+
+    def merged(key: tuple, group: pa.Table) -> pa.Table:
+        said, *others = (json.loads(t) for t in group.column("said").to_pylist())
+        for other in others:
+            said = [add(a, b) for a, b in zip(said, other, strict=True)]
+        return pa.table({"host": group.column("host")[:1], "shape": group.column("shape")[:1], "said": pa.array([json.dumps(said)], pa.string())})
 
     def aligned(key: tuple, group: pa.Table) -> pa.Table:
         best: Items | None = None
-        for text in sorted(group.column("shape").to_pylist(), key=lambda s: (len(s), s)):
-            best = json.loads(text) if best is None else align(best, json.loads(text))
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "shape": pa.array([json.dumps(best)], pa.string())})
-
+        parts = sorted(((json.loads(s), json.loads(e)) for s, e in zip(group.column("shape").to_pylist(), group.column("said").to_pylist(), strict=True)), key=lambda x: (len(json.dumps(x[0])), json.dumps(x[0])))
+        for items, _ in parts:
+            best = items if best is None else align(best, items)
+        matcher = Matcher(best)
+        said = [NOTHING] * matcher.slots
+        for items, known in parts:
+            carried(items, known, matcher, said)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "shape": pa.array([json.dumps(best)], pa.string()), "said": pa.array([json.dumps(said)], pa.string())})
+
+    def judged(key: tuple, group: pa.Table) -> pa.Table:
+        t = aligned(key, group)
+        items, said = (json.loads(t.column(c)[0].as_py()) for c in ("shape", "said"))
+        return pa.table({"host": t.column("host"), "wrapper": pa.array([json.dumps([items, points(said)])], pa.string())})
+
+    kind = "host string, shape string, said string"
     rows = pages.select(host.alias("host"), F.col(html_column).alias("html"))
-    distinct = rows.mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").count().drop("count")
+    distinct = rows.mapInArrow(shapes, kind).groupBy("host", "shape").applyInArrow(merged, kind)
     some = distinct.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
-    partial = some.groupBy("host", "salt").applyInArrow(aligned, "host string, shape string")
-    return partial.groupBy("host").applyInArrow(aligned, "host string, shape string").withColumnRenamed("shape", "wrapper")
+    partial = some.groupBy("host", "salt").applyInArrow(aligned, kind)
+    return partial.groupBy("host").applyInArrow(judged, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -340,11 +509,11 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
         for batch in batches(source, "html", 8 << 20):
             texts = []
             for page, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                w = known.get(text or "[]")
+                w = known.get(text or "[[], []]")
                 if w is None:
-                    if len(known) > 4096:
+                    if len(known) > 1024:
                         known.clear()
-                    w = known[text or "[]"] = Wrapper(json.loads(text or "[]"))
+                    w = known[text or "[[], []]"] = Wrapper(*json.loads(text or "[[], []]"))
                 texts.append(w.text(tokens(page or "")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

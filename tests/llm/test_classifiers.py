@@ -31,6 +31,17 @@ def test_language_of_odd_rows(spark):
     assert language.identify(ask.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    langs = {f"x{i:02}": f"{letters[i % 20]}o{letters[i // 20]}u{letters[i % 20]} " * 6 for i in range(66)}
+    docs = [(k, text, c) for k, (c, text) in enumerate(list(langs.items()) * 2)]
+    docs += [(1000 + i, langs["x00"], "x00") for i in range(9)]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1))
+    assert sorted(model.members) == [f"other {c}" for c in langs]
+    ask = spark.createDataFrame([(0, langs["x65"], "x65"), (1, langs["x00"], "x00")], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in language.identify(ask, model).collect())
+
+
 def test_toxicity_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

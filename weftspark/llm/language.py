@@ -34,8 +34,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 #: Hashed trigrams, those of them that the machines see, and texts looked at together.
 BUCKETS, KEPT, TOGETHER = 1 << 14, 3072, 64
-#: The bound of the sample: texts per language, and the languages.
-PER_LANGUAGE, LANGUAGES = 800, 64
+#: The bounds of the sample: texts per language; and texts altogether, which many languages share evenly, down to FEWEST each.
+PER_LANGUAGE, TEXTS, FEWEST = 800, 51200, 8
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
@@ -178,13 +178,14 @@ def pick(rows: DataFrame, key: str, per_class: dict, label: str) -> DataFrame:
 def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """A model from rows with a language; None without any.
 
-    At most ``per_language`` texts of each of the LANGUAGES commonest languages are fitted on.
+    Every language that occurs is learned, from at most ``per_language`` texts of it, or from
+    its share of TEXTS where that is less.
     """
     labelled = labelled.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
-    langs = [r[0] for r in labelled.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(LANGUAGES).collect()]
+    langs = sorted(r[0] for r in labelled.select(lang_column).distinct().collect())
     if not langs:
         return None
-    ids = pick(labelled, id_column, dict.fromkeys(langs, per_language), lang_column)
+    ids = pick(labelled, id_column, dict.fromkeys(langs, min(per_language, max(TEXTS // len(langs), FEWEST))), lang_column)
     rows = labelled.join(F.broadcast(ids), id_column).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from weftspark.llm.common import cut, table
 from weftspark.llm.decontaminate import without_copies
 from weftspark.llm.jaccard import near_duplicates
-from weftspark.llm.language import identify
+from weftspark.llm.language import identify, lettered
 from weftspark.llm.queries import language_model, packed
 from weftspark.llm.substrings import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those with no letter, or no text, go."""
-    told = identify(docs, language_model(docs))
+    """Documents with a letter: those with none, or no text, have no language and go.
+
+    So it is where no row has a language to learn from, too.
+    """
+    model = language_model(docs)
+    if model is None:
+        return lettered(docs)
+    told = identify(docs, model)
     return told.filter("lang_pred <> 'und'").select(*docs.columns)
 
 

@@ -1,3 +1,5 @@
+import zlib
+
 import public_tokenizers
 from test_jaccard import brute as components
 from test_substrings import SPLIT, WINDOW
@@ -52,3 +54,16 @@ def test_stages_equal_plain_versions(spark):
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
     assert total == {k: len(model.encode(t, add_special_tokens=False).ids) + 1 for k, t in kept.items()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length").collect()))[0][0] == min(kept)
+
+
+def test_without_a_language_to_learn_only_letterless_texts_go(spark):
+    texts = {1: "one two", 2: None, 3: "", 4: "12 !?", 5: "été", 6: "дом"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([(k, t, None, "s", len(t or "")) for k, t in texts.items()], schema)
+    # The only row with a language is held out of the training fold.
+    held = next(k for k in range(10, 99) if zlib.crc32(str(k).encode()) % 4 == 2)
+    one = none.unionByName(spark.createDataFrame([(held, "das Haus", "de", "s", 8)], schema))
+    for docs, want in ((none, [1, 5, 6]), (one, [1, 5, 6, held])):
+        got = corpus_pipeline.language(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == want

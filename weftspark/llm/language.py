@@ -233,6 +233,17 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_column: str =
     return docs.select(*own).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
+def lettered(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """The rows whose text has a letter, as ``identify`` tells letters."""
+    at = docs.columns.index(text_column)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))

@@ -73,3 +73,30 @@ def test_limits_on_segments_and_loss():
     assert sorted(p.row for s in whole + [rest] for p in s) == sorted(p.row for p in pieces)
     with pytest.raises(ValueError, match="limit"):
         pack(pieces, Limits(50, 3, 50), cuttable=False)
+
+
+def test_masks_make_the_limit_on_loss_bind(spark):
+    def answers(text, ids):
+        """Every third id bears loss in odd documents, each in even ones."""
+        return np.arange(len(ids)) % 3 == 0 if text and text[0] == "o" else np.ones(len(ids), bool)
+
+    texts = {i: ("odd" if i % 2 else "even") + " x" * (7 * i % 90) for i in range(120)} | {500: "odd" + " y" * 900, 501: "even" + " y" * 900, 502: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = pack_documents(df, PATH, limits=Limits(100, 9, 40), mask=answers).collect()
+    by, seq = {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        seq.setdefault(r.sequence_id, []).append(r)
+    for k, own in by.items():
+        own.sort(key=lambda r: r.start)
+        ids = np.array([*MODEL.encode(texts[k] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert b"".join(r.ids for r in own) == ids.tobytes()
+        assert b"".join(r.mask for r in own) == answers(texts[k], ids).tobytes()
+    assert set(by) == set(texts)
+    loss = [sum(sum(r.mask[1:]) for r in s) for s in seq.values()]
+    tokens = [sum(r.length for r in s) for s in seq.values()]
+    assert max(loss) == 40 and max(tokens) <= 100 and max(map(len, seq.values())) <= 9
+    assert sum(x == 40 and n < 100 for x, n in zip(loss, tokens, strict=True)) > 20
+    assert len(seq) < 1.1 * max(sum(loss) / 40, sum(tokens) / 100)
+    with pytest.raises(Exception, match="a mask needs a value for each id"):
+        pack_documents(df, PATH, mask=lambda text, ids: np.ones(3, bool)).collect()

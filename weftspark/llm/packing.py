@@ -13,7 +13,7 @@ of a task's rows is padded.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,19 +84,24 @@ class ByteIds:
 
 @dataclass
 class Piece:
-    """A run of a document's ids; ``row`` is whatever the caller knows the document by."""
+    """A run of a document's ids; ``row`` is whatever the caller knows the document by.
+
+    ``mask`` has a byte for each id, 1 where it bears loss; None is plain text.
+    """
 
     row: object
     start: int
     ids: bytes
     total: int
+    mask: bytes | None = None
 
     @property
     def length(self) -> int:
         return len(self.ids) // 4
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        return Piece(self.row, self.start, self.ids[: 4 * n], self.total), Piece(self.row, self.start + n, self.ids[4 * n :], self.total)
+        a, b = (None, None) if self.mask is None else (self.mask[:n], self.mask[n:])
+        return Piece(self.row, self.start, self.ids[: 4 * n], self.total, a), Piece(self.row, self.start + n, self.ids[4 * n :], self.total, b)
 
 
 def all_but_first(piece: Piece) -> int:
@@ -104,10 +109,27 @@ def all_but_first(piece: Piece) -> int:
     return piece.length - 1
 
 
+def masked(piece: Piece) -> int:
+    """Loss-bearing tokens by the piece's mask; its first bears none, as nothing precedes it."""
+    return all_but_first(piece) if piece.mask is None else piece.mask.count(1, 1)
+
+
+def most(piece: Piece, tokens: int, room: int, loss) -> int:
+    """The longest head of so many tokens at most whose loss fits the room."""
+    if tokens <= room or loss(piece.cut(tokens)[0]) <= room:
+        return tokens
+    low, high = 0, tokens
+    while high - low > 1:
+        n = (low + high) // 2
+        low, high = (n, high) if loss(piece.cut(n)[0]) <= room else (low, n)
+    return low
+
+
 def pack(pieces: list[Piece], limits: Limits, loss=all_but_first, cuttable: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
     """Closed sequences, and the pieces of the one that is still open at the end.
 
-    ``loss`` gives a piece's loss-bearing tokens and may not exceed its length. A piece that
+    ``loss`` gives a piece's loss-bearing tokens; it may not exceed its length nor fall when the
+    piece grows. A piece that
     exceeds a limit alone is cut, or gets a ValueError where pieces may not be cut.
     """
     pieces = list(pieces)
@@ -129,9 +151,9 @@ def pack(pieces: list[Piece], limits: Limits, loss=all_but_first, cuttable: bool
             now.append(pieces[k])
             left -= need[k]
         else:
-            if cuttable and left.min() >= 1:
+            if cuttable and left[:2].min() >= 1:
                 k = int(np.argmax(np.where(alive, weight @ (left / limit), -1.0)))
-                n = int(min(left[0], left[2], pieces[k].length - 1))
+                n = most(pieces[k], int(min(left[0], pieces[k].length - 1)), int(left[2]), loss)
                 if n > 0:
                     head, pieces[k] = pieces[k].cut(n)
                     now.append(head)
@@ -145,14 +167,17 @@ def pack(pieces: list[Piece], limits: Limits, loss=all_but_first, cuttable: bool
     return closed, now
 
 
-def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:  # noqa: B008
+def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", mask: Callable[[str | None, np.ndarray], np.ndarray] | None = None) -> DataFrame:  # noqa: B008
     """Pieces of all documents: id, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     A null text counts as empty, so it is the end id alone. Repeated rows are packed each. A
     task packs its own rows, so no rows are exchanged; only its last sequence is padded.
-    Other columns play no part; an empty table gives no rows.
+    Other columns play no part; an empty table gives no rows. ``mask`` is given a text and its
+    ids, the end id last, and tells for each whether it bears loss; the rows then have their
+    part of it too (binary, a byte an id). Without it all of a piece's tokens but the first do.
     """
     full = min(limits.tokens, limits.loss + 1)
+    extra = [] if mask is None else [("mask", pa.binary())]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base, count = ByteIds(path), TaskContext.get().partitionId() << 40, 0
@@ -164,12 +189,12 @@ def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end
             for s in sequences:
                 at = 0
                 for p in s:
-                    out.append((p.row, p.start, p.length, p.ids, p.total, base + count, at))
+                    out.append((p.row, p.start, p.length, p.ids, p.total, base + count, at, *([p.mask] if extra else [])))
                     at += p.length
                 count += 1
             for i in range(0, len(out), 2048):
                 columns = list(zip(*out[i : i + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *(t for _, t in extra)), strict=True)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", *(n for n, _ in extra)])
 
         end, kind = np.array([end_id], "<u4").tobytes(), None
         for batch in batches(source, "text", BATCH_BYTES):
@@ -178,21 +203,36 @@ def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.ids(text) + end
                 total = len(ids) // 4
-                for at in range(0, total - full + 1, full):
-                    whole.append([Piece(row, at, ids[4 * at : 4 * (at + full)], total)])
-                if total % full:
-                    waiting.append(Piece(row, total - total % full, ids[4 * (total - total % full) :], total))
+                if mask is None:
+                    for at in range(0, total - full + 1, full):
+                        whole.append([Piece(row, at, ids[4 * at : 4 * (at + full)], total)])
+                    if total % full:
+                        waiting.append(Piece(row, total - total % full, ids[4 * (total - total % full) :], total))
+                else:
+                    bears = np.asarray(mask(text, np.frombuffer(ids, "<u4")), bool)
+                    if len(bears) != total:
+                        raise ValueError("a mask needs a value for each id")
+                    before, at = np.concatenate([[0], np.cumsum(bears)]), 0
+                    while at < total:
+                        # As much as fits a sequence; where loss is what ends it, others may still fill it.
+                        n = min(limits.tokens, int(np.searchsorted(before, limits.loss + before[at + 1], "right")) - 1 - at)
+                        piece = Piece(row, at, ids[4 * at : 4 * (at + n)], total, bears[at : at + n].tobytes())
+                        if n == limits.tokens:
+                            whole.append([piece])
+                        else:
+                            waiting.append(piece)
+                        at += n
                 if len(waiting) >= BLOCK:
-                    closed, waiting = pack(waiting, limits)
+                    closed, waiting = pack(waiting, limits, masked)
                     whole += closed
                 if len(whole) >= 1024:
                     yield from rows(whole)
                     whole = []
             yield from rows(whole)
-        closed, now = pack(waiting, limits)
+        closed, now = pack(waiting, limits, masked)
         yield from rows(closed + [now] * bool(now))
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    packed = rows.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    packed = rows.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long" + ", mask binary" * bool(extra))
     return packed.withColumnRenamed("id", id_column)

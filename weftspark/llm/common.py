@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, for what outlives a stage. Where none is named, a local session gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = known.get() if known.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="weft-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the folder the cluster shares."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
-    return df.checkpoint()
+    """``df`` written as a table in the shared folder and read again: computed once, with a short lineage and its true size."""
+    path = f"{shared_folder(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

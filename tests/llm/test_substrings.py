@@ -84,7 +84,7 @@ def test_odd_rows(spark):
 def sent(print_, offset=0):
     """A blob of one window with this print, as a text of its own."""
     one = np.ones(1, np.uint64)
-    return squeeze(one * np.uint64(77), one * np.uint64(0), one * np.uint64(3), one * np.uint64(offset), one, one * np.uint64(0), one * np.uint64(5), np.array([print_], np.uint64))
+    return squeeze(one * np.uint64(0), one * np.uint64(3), np.array([print_], np.uint64), one * np.uint64(77 * WINDOW + offset), one * np.uint64(0), one * np.uint64(5))
 
 
 def test_windows_are_compared_by_whole_prints_and_the_anchors_place():
@@ -98,8 +98,25 @@ def test_prints_are_sent_whole(monkeypatch):
     real = substrings.gram_hashes
     monkeypatch.setattr(substrings, "gram_hashes", lambda h, k, seed=0: np.arange(len(real(h, k, seed)), dtype=np.uint64) + np.uint64(1 << 63))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(60))])], names=["doc_id", "text"])
-    _, blobs = substrings._scatter(batch, 1, 0, 1)
-    assert sorted(stretch(blobs[0])[-1].tolist()) == [(1 << 63) + i for i in range(41)]
+    _, names = substrings._scatter(batch, 1, 0, 1)
+    _, blobs = substrings._windows(substrings._keep(batch, 0), [names[0]], 1, 0, 1)
+    assert sorted(stretch(blobs[0])[2].tolist()) == [(1 << 63) + i for i in range(41)]
+
+
+def test_a_line_that_100_000_texts_share_is_no_repeat_by_itself():
+    g = np.random.default_rng(8)
+    line = [f"l{i}" for i in range(10)]
+    texts = [" ".join([*(f"w{x}" for x in g.integers(0, 1 << 40, 15)), *line, *(f"w{x}" for x in g.integers(0, 1 << 40, 15))]) for _ in range(100_000)]
+    texts[70_000] = texts[20]
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 10_000)), pa.array(texts[a : a + 10_000])], names=["doc_id", "text"]) for a in range(0, 100_000, 10_000)]
+    first = [substrings._scatter(b, 4, 0, 1) for b in parts]
+    answers = [[x for r in range(4) if (x := substrings._shared([sent[r] for _, sent in first])[k]) is not None] for k in range(10)]
+    second = [substrings._windows(substrings._keep(b, 0), a, 4, 0, 1) for b, a in zip(parts, answers, strict=True)]
+    # A third of all windows and more have the line's anchors, but no range gets many more than another.
+    sizes = [sum(len(stretch(sent[r])[2]) for _, sent in second) for r in range(4)]
+    assert max(sizes) < 1.1 * min(sizes)
+    found = [(k, x) for r in range(4) for k, x in enumerate(substrings._reduce([sent[r] for _, sent in second])) if x is not None]
+    assert {k for k, _ in found} == {7} and sum(len(stretch(x)[0]) for _, x in found) == 21
 
 
 def test_equal_windows_have_anchors_at_equal_places():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give back to the system what a worker no longer uses; allocators would keep it for the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it reads rows from files in the same order each time; else as a written table, which does."""
+    nodes = [line.lstrip(" :+-").split(" ", 1)[0] for line in df._jdf.queryExecution().optimizedPlan().treeString().splitlines()]
+    return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else cut(df)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -2,21 +2,22 @@
 
 ``scatter`` turns a batch of rows into blobs for R ranges of keys and one to keep; each
 range's blobs meet in ``reduce``, which answers the batches; ``gather`` gets a batch's kept
-blob with all its answers. Ranges are of hashed keys, and a batch names a key once, so the
-ranges are even however common a key is.
+blob with all its answers, or asks again. Ranges are of hashed keys, and a batch names a key
+once, so the ranges are even however common a key is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weftspark.llm.common import batches, partitions
+from weftspark.llm.common import batches, partitions, release, stable
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -61,46 +62,112 @@ def kept_rows(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-#: What a blob is: kept by its batch, or for (or from) a range.
-KEPT, SENT = 0, 1
+#: What a blob is: kept by its batch, for (or from) a range, or a batch's rows as they were read again.
+KEPT, SENT, ROWS = 0, 1, 2
 _SCHEMA = "r int, k long, kind int, data binary"
 
 
+Scatter = Callable[[pa.RecordBatch, int], tuple[bytes, dict[int, bytes]]]
+Reduce = Callable[[list[bytes]], list[bytes | None]]
+Again = Callable[[bytes, list[bytes], int], tuple[bytes, dict[int, bytes]]]
+
+
+_NAMES = ["r", "k", "kind", "data"]
+
+
+def _columns(rows: list[tuple[int, int, int, bytes]]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+
+
 def ask(
     rows: DataFrame,
     column: str,
-    scatter: Callable[[pa.RecordBatch, int], tuple[bytes, dict[int, bytes]]],
-    reduce: Callable[[list[bytes]], list[bytes | None]],
+    scatter: Scatter,
+    reduce: Reduce,
     gather: Callable[[bytes, list[bytes]], pa.Table],
     schema: str,
     most: int = 4 << 20,
+    further: Sequence[tuple[Again, Reduce]] = (),
+    keep: Callable[[pa.RecordBatch], bytes] | None = None,
 ) -> DataFrame:
-    """One round over ``rows``, in batches of about ``most`` bytes of ``column``."""
-    ranges = 2 * partitions(rows.sparkSession)
+    """A round over ``rows``, in batches of about ``most`` bytes of ``column``.
+
+    In a further round a batch asks again, by what it kept and the answers that it got. What a
+    batch keeps goes with the questions, unless ``keep`` gives it: then rows are read once
+    more for each round, in the same batches, and what ``keep`` makes of them meets the
+    answers with all that was kept along the way. ``rows`` are written first where reading them
+    twice might give other batches; and a batch knows itself by a print, so none can be taken for another.
+    """
+    ranges = 4 * partitions(rows.sparkSession)
+    if keep is not None:
+        rows = stable(rows)
+
+    # A task of a union has another number than the partition it reads, so the number comes with the rows.
+    rows = rows.withColumn("_" * (1 + max(map(len, rows.columns))), F.spark_partition_id())
+
+    def numbered(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for i, batch in enumerate(batches(source, column, most)):
+            last = batch.num_columns - 1
+            yield (batch.column(last)[0].as_py() << 24) + i, batch.remove_column(last)
+            release()
+
+    def out(k: int, kept: bytes, sent: dict[int, bytes]) -> list[tuple[int, int, int, bytes]]:
+        return [(k % ranges, k, KEPT, kept), *((r, k, SENT, b) for r, b in sorted(sent.items()))]
 
     def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 24
-        for i, batch in enumerate(batches(source, column, most)):
-            k = first + i
-            kept, sent = scatter(batch, ranges)
-            for r, kind, blob in [(k % ranges, KEPT, kept), *((r, SENT, b) for r, b in sorted(sent.items()))]:
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["r", "k", "kind", "data"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("k").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
-        kind, k, data = group.column("kind").to_numpy(), group.column("k").to_numpy(), group.column("data")
-        sent = np.flatnonzero(kind == SENT)
-        answers = reduce([data[int(i)].as_py() for i in sent])
-        out = [(int(k[i]), KEPT, data[int(i)].as_py()) for i in np.flatnonzero(kind == KEPT)]
-        out += [(int(k[i]), SENT, a) for i, a in zip(sent, answers, strict=True) if a is not None]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array([0] * len(out), pa.int32()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["r", "k", "kind", "data"])
-
-    def receive(group: pa.Table) -> pa.Table:
+        for k, batch in numbered(source):
+            for row in out(k, *scatter(batch, ranges)):
+                yield pa.RecordBatch.from_arrays(_columns([row]), names=_NAMES)
+
+    def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in numbered(source):
+            yield pa.RecordBatch.from_arrays(_columns([(0, k, ROWS, keep(batch))]), names=_NAMES)
+
+    def meeting(reduce: Reduce) -> Callable[[pa.Table], pa.Table]:
+        def meet(group: pa.Table) -> pa.Table:
+            order = np.argsort(group.column("k").to_numpy(), kind="stable")
+            group = group.take(pa.array(order))
+            kind, k, data = group.column("kind").to_numpy(), group.column("k").to_numpy(), group.column("data")
+            sent = np.flatnonzero(kind == SENT)
+            answers = reduce([data[int(i)].as_py() for i in sent])
+            rows = [(0, int(k[i]), KEPT, data[int(i)].as_py()) for i in np.flatnonzero(kind == KEPT)]
+            rows += [(0, int(k[i]), SENT, a) for i, a in zip(sent, answers, strict=True) if a is not None]
+            release()
+            return pa.table(_columns(rows), names=_NAMES)
+
+        return meet
+
+    def got(group: pa.Table) -> tuple[bytes, list[bytes]]:
         kind, data = group.column("kind").to_numpy(), group.column("data")
-        kept = [data[int(i)].as_py() for i in np.flatnonzero(kind == KEPT)]
-        return gather(kept[0], [data[int(i)].as_py() for i in np.flatnonzero(kind == SENT)])
-
-    asked = rows.mapInArrow(send, _SCHEMA).groupBy("r").applyInArrow(meet, _SCHEMA)
-    return asked.groupBy("k").applyInArrow(receive, schema)
+        rows, kept, sent = ([data[int(i)].as_py() for i in np.flatnonzero(kind == x)] for x in (ROWS, KEPT, SENT))
+        if keep is None:
+            return kept[0], sent
+        if len(rows) != 1 or len(kept) != 1 or not kept[0].startswith(blake2b(rows[0], digest_size=16).digest()):
+            raise ValueError("rows were read in other batches the second time")
+        return kept[0][16:] + rows[0], sent
+
+    def asking(again: Again) -> Callable[[tuple, pa.Table], pa.Table]:
+        def ask_again(key: tuple, group: pa.Table) -> pa.Table:
+            rows = out(key[0].as_py(), *again(*got(group), ranges))
+            release()
+            return pa.table(_columns(rows), names=_NAMES)
+
+        return ask_again
+
+    def gathered(group: pa.Table) -> pa.Table:
+        table = gather(*got(group))
+        release()
+        return table
+
+    def back(asked: DataFrame) -> DataFrame:
+        return (asked if keep is None else asked.unionByName(rows.mapInArrow(own, _SCHEMA))).groupBy("k")
+
+    asked = rows.mapInArrow(send, _SCHEMA).groupBy("r").applyInArrow(meeting(reduce), _SCHEMA)
+    for again, then in further:
+        asked = back(asked).applyInArrow(asking(again), _SCHEMA).groupBy("r").applyInArrow(meeting(then), _SCHEMA)
+    return back(asked).applyInArrow(gathered, schema)
+
+
+def known(kept: bytes, rows: bytes) -> bytes:
+    """What a batch keeps along the way where its rows are read again: a print of them goes before it."""
+    return blake2b(rows, digest_size=16).digest() + kept

@@ -8,9 +8,11 @@ forced it (its context): a window that holds the context holds the symbol in eve
 
 A window of w words is known by the highest symbols it holds: the one of least name is its
 anchor. Equal windows have equal anchors at equal places, so windows need to be compared
-only where an anchor's context stands more than once. Anchors are exchanged by name with
-the places in their windows and the windows' whole fingerprints, the earliest of equal
-windows stays, and the words of all others are removed.
+only where an anchor's context stands more than once. One round tells which anchors' names
+several batches have. In another the windows of those, and no others, are compared by their
+whole fingerprints, with the anchor's name and its place; they are dealt by fingerprint, so
+a passage that a third of all texts hold makes no hot key. The earliest of equal windows
+stays, and the words of all others are removed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.llm.common import gram_hashes, mix, span_hashes, spans, utf8, word_hashes, words
-from weftspark.llm.rounds import ask, differences, keep_rows, kept_rows, squeeze, stretch
+from weftspark.llm.rounds import ask, differences, keep_rows, kept_rows, known, squeeze, stretch
 
 #: Rounds of renaming, words in a window, bits of an anchor's name that are exchanged.
 ROUNDS, WINDOW, BITS = 2, 20, 56
@@ -142,13 +144,46 @@ def anchored(h: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nd
     return named, offset, valid
 
 
-def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[bytes, dict[int, bytes]]:
-    key = batch.column(ids).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-    order = np.argsort(key, kind="stable")
-    batch, key = batch.take(pa.array(order)), key[order]
+def _words(batch: pa.RecordBatch, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a batch's words, and the n + 1 offsets of the texts' words."""
     raw, offsets = utf8(batch.column(texts))
     starts, ends, at = words(raw, offsets)
-    h = word_hashes(raw, starts, ends)
+    return word_hashes(raw, starts, ends), at
+
+
+def _keep(batch: pa.RecordBatch, ids: int) -> bytes:
+    """A batch in the order of its ids, as a blob."""
+    key = batch.column(ids).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+    return keep_rows(batch.take(pa.array(np.argsort(key, kind="stable"))))
+
+
+def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[bytes, dict[int, bytes]]:
+    """First round: the names of a batch's anchors, each once."""
+    name, valid = anchors(*_words(batch, texts))
+    names = np.unique(name[valid] >> np.uint64(64 - BITS))
+    cuts = np.searchsorted(names // np.uint64(-(-(1 << BITS) // ranges)), np.arange(ranges + 1, dtype=np.uint64))
+    return known(b"", _keep(batch, ids)), {i: squeeze(differences(names[cuts[i] : cuts[i + 1]])) for i in range(ranges) if cuts[i + 1] > cuts[i]}
+
+
+def _shared(blobs: list[bytes]) -> list[bytes | None]:
+    """For each batch, those of its names that another batch has too."""
+    if not blobs:
+        return []
+    names = [np.cumsum(stretch(b)[0]) for b in blobs]
+    every = np.concatenate(names)
+    by = np.argsort(every, kind="stable")
+    same = every[by[1:]] == every[by[:-1]]
+    many = np.zeros(len(every), bool)
+    many[by[1:]] |= same
+    many[by[:-1]] |= same
+    cuts = np.cumsum([0, *map(len, names)])
+    return [squeeze(differences(own[many[a:b]])) if many[a:b].any() else None for own, a, b in zip(names, cuts[:-1], cuts[1:], strict=True)]
+
+
+def _windows(kept: bytes, answers: list[bytes], ranges: int, ids: int, texts: int) -> tuple[bytes, dict[int, bytes]]:
+    """Second round: the windows whose anchors another batch has, dealt by their prints, so a common anchor is no common key."""
+    batch = kept_rows(kept)
+    h, at = _words(batch, texts)
     name, offset, valid = anchored(h, at)
     w = np.flatnonzero(valid)
     name, offset, print_ = name[w], offset[w], gram_hashes(h, WINDOW, 17)[w]
@@ -158,65 +193,50 @@ def _scatter(batch: pa.RecordBatch, ranges: int, ids: int, texts: int) -> tuple[
     again = np.zeros(len(w), bool)
     again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
     covered = w[again]
-    w, name, offset, print_ = w[~again], name[~again] >> np.uint64(64 - BITS), offset[~again], print_[~again]
-    # Neighbouring windows of one anchor are sent as a run: the anchor and its place in the first once, and a print for each.
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1] + 1) | (name[1:] != name[:-1]) | (w[1:] + offset[1:] != w[:-1] + offset[:-1])
-    begin = np.flatnonzero(new)
-    count = np.diff(np.append(begin, len(w)))
-    by = np.argsort(name[begin], kind="stable")
-    begin, count = begin[by], count[by]
-    name, text = name[begin], np.searchsorted(at, w[begin], "right") - 1
-    cuts = np.searchsorted((name // np.uint64(-(-(1 << BITS) // ranges))).astype(np.int64), np.arange(ranges + 1))
+    name = name >> np.uint64(64 - BITS)
+    wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(stretch(a)[0]) for a in answers)]))
+    asks = ~again
+    if len(wanted):
+        asks &= wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name
+    else:
+        asks[:] = False
+    w, print_, text = w[asks], print_[asks], np.searchsorted(at, w[asks], "right") - 1
+    # The anchor's name and its place in the window, as 32 bits beside the print.
+    check = (name[asks] * np.uint64(WINDOW) + offset[asks]) & np.uint64(0xFFFFFFFF)
+    key = batch.column(ids).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
     ids_blob = np.ascontiguousarray(key).view(np.uint64) + np.uint64(1 << 63)
+    to = (print_ >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(ranges + 1, dtype=np.uint64))
     sent = {}
     for i in range(ranges):
-        own = slice(cuts[i], cuts[i + 1])
-        if cuts[i + 1] > cuts[i]:
+        own = order[cuts[i] : cuts[i + 1]]
+        if len(own):
             rows, inverse = np.unique(text[own], return_inverse=True)
-            run, within = spans(count[own])
-            sent[i] = squeeze(differences(name[own]), inverse, w[begin[own]] - at[text[own]], offset[begin[own]], count[own], rows, differences(ids_blob[rows]), print_[begin[own][run] + within])
+            sent[i] = squeeze(differences(inverse), w[own] - at[text[own]], print_[own], check[own], rows, differences(ids_blob[rows]))
     row = np.searchsorted(at, covered, "right") - 1
-    return squeeze(covered - at[row], row) + keep_rows(batch), sent
+    return known(squeeze(covered - at[row], row), kept), sent
 
 
 def _reduce(blobs: list[bytes]) -> list[bytes | None]:
+    """For each batch, the places and rows of those of its windows that stand earlier."""
     if not blobs:
         return []
-    columns: tuple[list, ...] = ([], [], [], [], [], [], [])
-    rows_of = []
+    columns: tuple[list, ...] = ([], [], [], [], [])
     for blob in blobs:
-        name, row, place, offset, count, rows, ids, print_ = stretch(blob)
-        rows_of.append(rows.astype(np.uint32))
-        for c, v in zip(columns, (np.cumsum(name), row.astype(np.uint32), place.astype(np.uint32), offset.astype(np.uint8), count.astype(np.int64), np.cumsum(ids)[row.astype(np.int64)], print_), strict=True):
+        row, place, print_, check, rows, ids = stretch(blob)
+        row = np.cumsum(row).astype(np.int64)
+        for c, v in zip(columns, (rows[row].astype(np.uint32), place.astype(np.uint32), print_, check.astype(np.uint32), np.cumsum(ids)[row]), strict=True):
             c.append(v)
     own = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(x) for x in columns[0]])
-    name, row, place, offset, count, doc, print_ = (np.concatenate(c) for c in columns)
+    row, place, print_, check, doc = (np.concatenate(c) for c in columns)
     del columns
-    # Windows whose anchor's name stands alone are unlike all others.
-    by = np.argsort(name, kind="stable")
-    same = name[by[1:]] == name[by[:-1]]
-    shared = np.zeros(len(name), bool)
-    shared[by[1:]] |= same
-    shared[by[:-1]] |= same
-    begin = np.cumsum(count) - count
-    runs = np.flatnonzero(shared)
-    i, within = spans(count[runs])
-    i = runs[i]
-    print_, place = print_[begin[i] + within], place[i] + within.astype(np.uint32)
-    # An anchor's name with its place in the window, which is one less in each window of a run.
-    name = name[i] * np.uint64(WINDOW) + (offset[i] - within).astype(np.uint64)
-    row, doc, own = row[i], doc[i], own[i]
-    order = np.lexsort((place, own, doc, print_, name))
+    order = np.lexsort((place, own, doc, check, print_))
     later = np.zeros(len(order), bool)
-    later[1:] = (name[order[1:]] == name[order[:-1]]) & (print_[order[1:]] == print_[order[:-1]])
+    later[1:] = (print_[order[1:]] == print_[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     repeats = np.sort(order[later])
     cuts = np.searchsorted(own[repeats], np.arange(len(blobs) + 1))
-    out: list[bytes | None] = []
-    for k, rows in enumerate(rows_of):
-        mine = repeats[cuts[k] : cuts[k + 1]]
-        out.append(squeeze(place[mine], rows[row[mine]]) if len(mine) else None)
-    return out
+    return [squeeze(place[mine], row[mine]) if len(mine) else None for mine in (repeats[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", rejoin: bool = False) -> DataFrame:
@@ -225,9 +245,10 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     A word goes if a window of WINDOW words that covers it stands earlier too: in a row of
     smaller id, or in the same text before. Words are runs of other than ASCII white space.
     Where some go, those kept are joined by single spaces; other texts stay as they are
-    unless ``rejoin``. A null text has no word and stays null; rows of
-    one id count as different texts, the one read first being earlier; null ids are
-    smallest. Columns named n_words or n_removed are replaced.
+    unless ``rejoin``. A null text has no word and stays null, an empty one stays empty; a very
+    long one is a batch of its own. Rows of one id count as different texts, the one read first
+    being earlier; null ids are smallest. An empty table stays empty. Columns named n_words or
+    n_removed are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     ids, texts = own.index(id_column), own.index(text_column)
@@ -260,7 +281,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
         return pa.table([*columns, pa.array(np.diff(at).astype(np.int64)), pa.array(gone, pa.int64())], names=[*own, "n_words", "n_removed"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return ask(rows, text_column, lambda b, r: _scatter(b, r, ids, texts), _reduce, gather, ", ".join([*fields, "n_words long", "n_removed long"]))
+    again = [(lambda kept, answers, r: _windows(kept, answers, r, ids, texts), _reduce)]
+    return ask(rows, text_column, lambda b, r: _scatter(b, r, ids, texts), _shared, gather, ", ".join([*fields, "n_words long", "n_removed long"]), further=again, keep=lambda b: _keep(b, ids))
 
 
 def _frame(blob: bytes) -> int:

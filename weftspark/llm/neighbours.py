@@ -6,8 +6,9 @@ neighbours lie. Every row is put into its most probable part. A query goes to it
 probable parts - as many as the sample needs for the wanted recall - and is ranked there
 against all rows, exactly.
 
-A part with many rows (one vector may be a third of all) is dealt to several cells, and its
-queries go to all of them. So a cell's size is bounded, and no row is left out.
+Parts lie in cells of bounded size: several small parts share one, and a part with many rows
+(one vector may be a third of all) is dealt to several. A query is sent to a cell once, with
+the parts it probes there, so what is sent depends on the number of cells and not of parts.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds: sampled vectors, rows per cell (about), sampled vectors per part, parts.
-SAMPLE, CELL, PER_PART, PARTS = 6000, 1024, 150, 64
+from weftspark.llm.common import cut, partitions
+
+#: Bounds: sampled vectors, rows per cell at most, sampled vectors per part, parts. More parts
+#: leave fewer rows to rank at equal recall, but a part can't be learned from fewer vectors.
+SAMPLE, CELL, PER_PART, PARTS = 6000, 1 << 16, 20, 256
 #: Neighbours in the graph; recall that the sample must reach.
-DEGREE, RECALL = 12, 0.95
+DEGREE, RECALL = 12, 0.93
 
 
 def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, slack: float = 1.05, rounds: int = 12) -> np.ndarray:
@@ -134,20 +138,37 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", sample: int = SAMPLE, cell: int = CELL, recall: float = RECALL) -> DataFrame:
+def cells_of(sizes: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first cell of each part, and over how many it is spread; neighbouring small parts share one."""
+    first, count = np.zeros(len(sizes), int), np.ones(len(sizes), int)
+    at, room = -1, 0
+    for p, n in enumerate(sizes.tolist()):
+        if n > cell:
+            first[p], count[p] = at + 1, -(-n // cell)
+            at, room = at + count[p], 0
+        elif n:
+            if n > room:
+                at, room = at + 1, cell
+            first[p] = at
+            room -= n
+    return first, count
+
+
+def search(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", sample: int = SAMPLE, cell: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, id, score of the ``k`` rows of largest inner product for each row that ``queries`` holds for.
 
     A query's own id is no candidate. Vectors that are null, zero, of another length than
     most, or that hold null or non-finite components take no part; nor do rows without an
     id. Of repeated query ids one is asked; repeated candidates are ranked each; ties go to
-    the smaller id. Fits and counts at once; the search itself is lazy.
+    the smaller id. Texts play no part. An empty table gives no rows. Fits, and puts rows
+    into parts, at once; the search itself is lazy. ``cell`` bounds the rows of a cell; left
+    out, there are some cells for each of the session's partitions, of CELL rows at most.
     """
     rows = vectors.filter(F.col(id_column).isNotNull() & _valid(F.col(vector_column)))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda v: v.cast("double")).alias("v"), queries.alias("asked"))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_column} long, score double")
     if not lengths:
-        return empty
+        return rows.selectExpr("id AS query_id", "1 AS rank", f"id AS {id_column}", "0D AS score")
     d = lengths[0].d
     rows = rows.filter(F.size("v") == d)
     some = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
@@ -161,38 +182,66 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str =
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(router.home(flat(b.column(1))).astype(np.int32))], names=["id", "v", "part"])
 
+    parts = router.weights.shape[1]
+    placed = cut(rows.select("id", "v").mapInArrow(homes, "id long, v array<double>, part int"))
+    sizes = np.zeros(parts, int)
+    for r in placed.groupBy("part").count().collect():
+        sizes[r.part] = r["count"]
+    if cell is None:
+        cell = int(min(CELL, max(1024, -(-sizes.sum() // (2 * partitions(vectors.sparkSession))))))
+    first, count = cells_of(sizes, cell)
+    at, spread = (F.array(*map(F.lit, x.tolist()))[F.col("part")] for x in (first, count))
+    dealt = placed.select((at + F.pmod(F.xxhash64("id", "v"), spread)).cast("int").alias("cell"), "part", "id", "v")
+    # The cells of each part, as a table of parts by cells.
+    within = np.zeros((parts, int((first + count).max())), bool)
+    for p in np.flatnonzero(sizes):
+        within[p, first[p] : first[p] + count[p]] = True
+
     def probes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             if b.num_rows:
-                to = router.probed(flat(b.column(1))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(to.tolist(), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+                to = router.probed(flat(b.column(1)))
+                probed = np.zeros((b.num_rows, parts), bool)
+                probed[np.arange(b.num_rows)[:, None], to] = True
+                for c in range(within.shape[1]):
+                    own = probed & within[:, c]
+                    who = np.flatnonzero(own.any(1))
+                    if len(who):
+                        wanted = pa.array([np.flatnonzero(x).astype(np.int32) for x in own[who]], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), c, np.int32)), wanted, b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], names=["cell", "parts", "id", "v"])
 
-    placed = rows.select("id", "v").mapInArrow(homes, "id long, v array<double>, part int")
-    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
-    cells = F.array(*(F.lit(-(-sizes.get(p, 0) // cell)) for p in range(router.weights.shape[1])))
-    dealt = placed.select("part", F.pmod(F.xxhash64("id", "v"), cells[F.col("part")]).cast("int").alias("cell"), "id", "v")
     asked = rows.filter("asked").groupBy("id").agg(F.min("v").alias("v"))
-    sent = asked.mapInArrow(probes, "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part"))
-    sent = sent.filter(cells[F.col("part")] > 0).select("part", F.explode(F.sequence(F.lit(0), cells[F.col("part")] - 1)).alias("cell"), "id", "v")
+    sent = asked.mapInArrow(probes, "cell int, parts array<int>, id long, v array<double>")
 
     def ranked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            ids, v = left.column("id").to_numpy(), flat(left.column("v").combine_chunks())
-            qids, q = right.column("id").to_numpy(), flat(right.column("v").combine_chunks())
-            for i in range(0, len(q), 256):
-                s = q[i : i + 256] @ v.T
-                s[qids[i : i + 256, None] == ids[None, :]] = -np.inf
-                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                a, b = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf))
-                exact = (q[i + a] * v[b]).sum(1)  # the same rounding wherever a vector stands
-                order = np.lexsort((ids[b], -exact, a))
-                a, b, exact = a[order], b[order], exact[order]
-                keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-                out.append((qids[i + a[keep]], ids[b[keep]], exact[keep]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
-
-    found = dealt.groupBy("part", "cell").cogroup(sent.groupBy("part", "cell")).applyInArrow(ranked, "query_id long, id long, score double")
+            every, part, vs = left.column("id").to_numpy(), left.column("part").to_numpy(), flat(left.column("v").combine_chunks())
+            asking, qs = right.column("id").to_numpy(), flat(right.column("v").combine_chunks())
+            lists = right.column("parts").combine_chunks()
+            wanted, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(asking)), np.diff(lists.offsets.to_numpy()))
+            for p in np.unique(part):
+                ids, v = every[part == p], vs[part == p]
+                here = who[wanted == p]
+                for i in range(0, len(here), 256):
+                    own = here[i : i + 256]
+                    s = qs[own] @ v.T
+                    s[asking[own][:, None] == ids[None, :]] = -np.inf
+                    least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                    a, b = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf))
+                    exact = (qs[own[a]] * v[b]).sum(1)  # the same rounding wherever a vector stands
+                    order = np.lexsort((ids[b], -exact, a))
+                    a, b, exact = a[order], b[order], exact[order]
+                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    out.append((asking[own[a[keep]]], ids[b[keep]], exact[keep]))
+        if not out:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        query, near, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((near, -score, query))
+        query, near, score = query[order], near[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.table({"query_id": query[keep], "id": near[keep], "score": score[keep]})
+
+    found = dealt.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(ranked, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -13,8 +13,9 @@ page's text is what fills the slots of the article.
 
 Page streams are first folded (neighbouring equal groups become one repeated group), and
 equal folded streams of a host are merged as they are read, so what is exchanged and aligned
-are a host's different shapes, each with the evidence on its slots. They are aligned in ``SALTS`` separate groups by host and
-shape, then those groups' wrappers with one another, so no task holds a host's pages.
+are a host's different shapes, each with the evidence on its slots. They are aligned in a tree:
+in as many groups as SALTS says first, then those groups' wrappers in fewer, then the host's.
+So no task holds a host's pages or shapes.
 """
 
 from __future__ import annotations
@@ -29,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import batches
+from weftspark.llm.common import batches, partitions
 
-#: Groups in which a host's shapes are aligned before they meet, and the longest repeated group.
-SALTS, LONGEST = 16, 12
-#: Places that a host's pages are dealt to when they meet its wrapper.
-SPREAD = 64
+#: Groups in which a host's shapes are aligned, level by level, before they meet; and the longest repeated group.
+SALTS, LONGEST = (256, 16), 12
+#: A host with a larger share of all pages than one in so many has its pages dealt to several places.
+LARGE = 1000
 
 #: Elements whose content is no page text, that stand beside an article, that have no end
 #: tag, that begin a new block, and that are taken as the article when a page has one.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas head".split())
-BESIDE = frozenset("nav header footer aside form menu dialog button select fieldset label figure figcaption".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas head".split())
+BESIDE = frozenset("nav header footer aside form menu dialog button select fieldset label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = ("article", "main")
@@ -49,7 +50,7 @@ ENOUGH = 3
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice alert disclaimer "
     "nav navbar navigation menu breadcrumb breadcrumbs pager pagination sidebar side aside header masthead footer foot copyright legal comment comments respond reply replies "
-    "disqus discussion related recommended share sharing social follow subscribe newsletter signup login search form widget toolbar skip tags meta byline complementary contentinfo".split()
+    "disqus discussion related recommended share sharing social follow subscribe newsletter signup login search form widget toolbar skip complementary contentinfo".split()
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|noscript|template|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
@@ -485,8 +486,10 @@ def wrappers(pages: DataFrame, *, url_column: str = "url", html_column: str = "h
     kind = "host string, shape string, said string"
     rows = pages.select(host.alias("host"), F.col(html_column).alias("html"))
     distinct = rows.mapInArrow(shapes, kind).groupBy("host", "shape").applyInArrow(merged, kind)
-    some = distinct.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
-    partial = some.groupBy("host", "salt").applyInArrow(aligned, kind)
+    partial = distinct.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS[0])))
+    for groups in (*SALTS[1:], 1):
+        met = partial.groupBy("host", "salt").applyInArrow(lambda key, group: aligned(key, group).append_column("salt", pa.array([key[1].as_py()], pa.int64())), kind + ", salt long")
+        partial = met.withColumn("salt", F.pmod("salt", F.lit(groups)))
     return partial.groupBy("host").applyInArrow(judged, "host string, wrapper string")
 
 
@@ -495,13 +498,23 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
 
     A null page is empty; a page with no host shares a wrapper with the others that have
     none; pages that no wrapper reaches are judged by their own elements. Repeated rows are
-    answered each.
+    answered each; a very long page is read whole; an empty table gives no rows. Hosts are
+    counted at once, the rest is lazy.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host.alias("host"))
-    # A host may hold a third of the pages, so its wrapper is copied to SPREAD places, and its pages are dealt to them.
-    copies = wrappers(pages, url_column=url_column, html_column=html_column).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = rows.withColumn("place", F.pmod(F.xxhash64("id", "url"), F.lit(SPREAD)).cast("int"))
+    # A host may hold a third of the pages: its wrapper is copied to several places, by its share, and its pages are dealt to them.
+    spark = pages.sparkSession
+    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    large = counts.filter(F.col("n") * LARGE > total).collect()  # LARGE rows at most
+    places = [(r.host, 1 + 4 * partitions(spark) * r.n // total) for r in large]
+    few = pa.table({"host": pa.array([h for h, _ in places], pa.string()), "places": pa.array([n for _, n in places], pa.int64())})
+    spread = F.broadcast(spark.createDataFrame(few, "host string, places long"))
+    number = F.coalesce("places", F.lit(1))
+    known = wrappers(pages, url_column=url_column, html_column=html_column).join(spread, "host", "left")
+    copies = known.select("host", "wrapper", F.explode(F.sequence(F.lit(0), number - 1)).alias("place"))
+    dealt = rows.join(spread, "host", "left").withColumn("place", F.pmod(F.xxhash64("id", "url"), number))
     joined = dealt.join(copies, ["host", "place"], "left").select("id", "url", "html", "wrapper")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,3 +32,19 @@ def test_nulls_repeats_empty_and_clashing_names(spark):
     assert len({(r.shard, r.slot) for r in rows}) == 4
     assert documents_in_shards(df.limit(0)).count() == 0
     assert shard(df, "doc_id", 3).columns == ["doc_id", "text", "shard", "grown_shard", "slot"]
+
+
+def test_no_column_of_the_input_is_hidden(spark):
+    names = ["_n", "_b", "_k", "_r", "____r", "slot"]
+    df = spark.createDataFrame([(5, *range(777, 783)), (None, *range(888, 894))], "doc_id long, " + ", ".join(f"{c} int" for c in names))
+    out = shard(df, "doc_id", 3)
+    assert out.columns == ["doc_id", *names[:-1], "shard", "grown_shard", "slot"]
+    assert sorted((r["_n"], r["_b"], r["_k"], r["_r"], r["____r"]) for r in out.collect()) == [tuple(range(777, 782)), tuple(range(888, 893))]
+
+
+def test_null_keys_are_dealt_to_buckets_and_slots_stay_gapless(spark):
+    df = spark.createDataFrame([(None, f"t{i}") for i in range(500)] + [(9, "x" * 5_000_000)], "doc_id long, text string")
+    rows = documents_in_shards(df).collect()
+    own = sorted(r.slot for r in rows if r.doc_id is None)
+    assert sorted(r.slot for r in rows if r.shard == jump(0, 24)) == list(range(500)) if jump(9, 24) != jump(0, 24) else len(set(own)) == 500
+    assert [r.size for r in rows if r.doc_id == 9] == [5_000_008]

@@ -73,24 +73,24 @@ def shard(df: DataFrame, key: str, shards: int, *, size: Column | None = None, b
 
     Slots are dealt in two steps, so no shard's rows meet in one task: keys are hashed to
     ``buckets`` per shard, rows are numbered within a bucket, and a bucket starts where the
-    ones before it end. Null keys share one key; rows with equal keys share a shard and get
-    different slots; an empty table stays empty. Other columns are kept; ``shard``,
+    ones before it end. Null keys share one key, so one shard, whose buckets they are dealt to by
+    their ties; rows with equal keys share a shard and get different slots; an empty table stays
+    empty. Texts play no part, whatever their length. All other columns are kept; ``shard``,
     ``grown_shard`` and ``slot`` are replaced where the input has them.
     """
-    own = [c for c in df.columns if c not in ("shard", "grown_shard", "slot", "_n", "_b", "_k")]
-    keyed = (
-        df.select(*own)
-        .withColumn("_n", jump_shards(F.col(key), shards, shards + 1))
-        .withColumn("_b", spread(F.col(key), buckets))
-        .select(*own, F.col(f"_n.n{shards}").alias("shard"), F.col(f"_n.n{shards + 1}").alias("grown_shard"), "_b")
-    )
-    counted = keyed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k"))
+    own = [c for c in df.columns if c not in ("shard", "grown_shard", "slot")]
+    # Longer names than any of the input's, so none of its columns is hidden.
+    long = "_" * (1 + max(map(len, own)))
+    n, b, k, r = (long + x for x in "nbkr")
     ties = [F.col(key)] + ([size] if size is not None else [])
-    place = Window.partitionBy("shard", "_b").orderBy(*ties)
-    numbered = keyed.withColumn("_r", F.row_number().over(place) - 1)
-    return numbered.join(starts, ["shard", "_b"]).select(*own, "shard", "grown_shard", (F.col("_k") + F.col("_r")).cast("long").alias("slot"))
+    bucket = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int")).otherwise(spread(F.col(key), buckets))
+    keyed = df.select(*own, jump_shards(F.col(key), shards, shards + 1).alias(n), bucket.alias(b))
+    keyed = keyed.select(*own, F.col(f"{n}.n{shards}").alias("shard"), F.col(f"{n}.n{shards + 1}").alias("grown_shard"), b)
+    counted = keyed.groupBy("shard", b).agg(F.count(F.lit(1)).alias(k))
+    before = Window.partitionBy("shard").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("shard", b, F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k))
+    numbered = keyed.withColumn(r, F.row_number().over(Window.partitionBy("shard", b).orderBy(*ties)) - 1)
+    return numbered.join(starts, ["shard", b]).select(*own, "shard", "grown_shard", (F.col(k) + F.col(r)).cast("long").alias("slot"))
 
 
 def documents_in_shards(docs: DataFrame, shards: int = 24) -> DataFrame:

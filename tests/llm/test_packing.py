@@ -23,6 +23,11 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(IDS.ids("a<|endoftext|>b"), "<u4")[1] == 50256
 
 
+def test_long_runs_of_white_space_and_very_long_texts():
+    for text in ("a" + " " * 5_000_000 + "b", "x" * 1_000_000 + "\n" * 800_000, "word and word " * 400_000):
+        assert list(np.frombuffer(IDS.ids(text), "<u4")) == MODEL.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, texts):
     rows = [r.asDict() for r in rows]
     by, seq = {}, {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftspark.llm.common import batches
+from weftspark.llm.common import batches, release
 
 #: Bytes of text tokenised at once, and remainders packed together.
 BATCH_BYTES, BLOCK = 8 << 20, 4096
@@ -45,7 +45,8 @@ class ByteIds:
 
     tiktoken gives the same ids a few times faster where a file's ids are the order of its
     merges; the file's vocabulary is then read as ranks, and a probe text must agree. Texts
-    that hold a special string, and files of another kind, are left to the library itself.
+    that hold a special string or a run of white space too long for it, and files of another
+    kind, are left to the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,6 +55,7 @@ class ByteIds:
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.fast = self._as_ranks(path)
+        release()  # reading the file takes several times what stays of it
         if self.fast and not np.array_equal(self.fast.encode_to_numpy(PROBE), self.model.encode(PROBE, add_special_tokens=False).ids):
             self.fast = None
 
@@ -77,9 +79,12 @@ class ByteIds:
         """Little-endian 32-bit ids, end to end."""
         if not text:
             return b""
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+            except ValueError:  # runs of white space of some 700,000 characters are too long for its pattern
+                pass
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @dataclass
@@ -170,7 +175,8 @@ def pack(pieces: list[Piece], limits: Limits, loss=all_but_first, cuttable: bool
 def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", mask: Callable[[str | None, np.ndarray], np.ndarray] | None = None) -> DataFrame:  # noqa: B008
     """Pieces of all documents: id, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
-    A null text counts as empty, so it is the end id alone. Repeated rows are packed each. A
+    A null or empty text is the end id alone; a very long one is encoded whole. Repeated rows
+    are packed each. A
     task packs its own rows, so no rows are exchanged; only its last sequence is padded.
     Other columns play no part; an empty table gives no rows. ``mask`` is given a text and its
     ids, the end id last, and tells for each whether it bears loss; the rows then have their
@@ -229,6 +235,7 @@ def pack_documents(docs: DataFrame, path: str, *, limits: Limits = Limits(), end
                     yield from rows(whole)
                     whole = []
             yield from rows(whole)
+            release()
         closed, now = pack(waiting, limits, masked)
         yield from rows(closed + [now] * bool(now))
 

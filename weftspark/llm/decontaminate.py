@@ -208,7 +208,7 @@ def find_copies(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id",
     item_kind = items.schema[item_column].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, score double, first_word int, end_word int"
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = rows.selectExpr("id", f"cast(NULL AS {item_kind}) AS item", "0D AS score", "0 AS first_word", "0 AS end_word").limit(0)
     for block in index(docs, items, item_column=item_column, text_column=text_column):
 
         def run(source: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspark.llm.common import batches, utf8
@@ -168,11 +168,20 @@ class LanguageModel:
 
 
 def pick(rows: DataFrame, key: str, per_class: dict, label: str) -> DataFrame:
-    """Ids of at most so many rows of each class: those whose hashes are smallest."""
-    spark = rows.sparkSession
-    parts = [rows.filter(F.col(label) == F.lit(c)).select(key).orderBy(F.xxhash64(key), key).limit(n) for c, n in per_class.items()]
-    ids = sorted({r[0] for p in parts for r in p.collect()})
-    return spark.createDataFrame([(i,) for i in ids], f"{key} {rows.schema[key].dataType.simpleString()}")
+    """Ids of at most so many rows of each class: those whose hashes are smallest.
+
+    The classes are counted first, and only hashes so small that some four times as many rows
+    have them are looked at, so what meets in a task doesn't grow with the rows.
+    """
+    count = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] in per_class}
+    if not count:
+        return rows.select(key).limit(0)
+    edge = F.coalesce(*(F.when(F.col(label) == F.lit(c), F.lit(min(2**63 - 1, -(2**63) + 2**64 * (4 * per_class[c] + 100) // n))) for c, n in count.items()))
+    hashed = rows.select(key, label, F.xxhash64(key).alias("_hash")).filter(F.col("_hash") <= edge)
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_hash", key)).alias("_place")
+    first = hashed.select(key, label, place).filter(F.col("_place") <= max(per_class.values())).collect()
+    ids = sorted({r[0] for r in first if r["_place"] <= per_class[r[1]]})
+    return rows.sparkSession.createDataFrame(pa.table({key: ids}), rows.select(key).schema)
 
 
 def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:

@@ -139,7 +139,10 @@ def fit(labelled: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
     one = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(id_column).agg(F.max(label_column).alias("_toxic"))
     ids = pick(one, id_column, {1: toxic_rows, 0: other_rows}, "_toxic")
     kind = labelled.schema[id_column].dataType.simpleString()
-    known = labelled.sparkSession.createDataFrame([tuple(r) for r in one.join(F.broadcast(ids), id_column).select(id_column, "_toxic").collect()], f"id {kind}, toxic int")
+    known = [tuple(r) for r in one.join(F.broadcast(ids), id_column).select(id_column, "_toxic").collect()]
+    if not known:
+        return None
+    known = labelled.sparkSession.createDataFrame(pa.table({"id": [k for k, _ in known], "toxic": pa.array([t for _, t in known], pa.int32())}), f"id {kind}, toxic int")
     rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(known), "id").select("text", "toxic")
 
     def spread(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from weftspark.functions import scalars
-from weftspark.operators import graph, tiles, trace
+from weftspark.functions import placement, scalars
+from weftspark.operators import graph, tiles, trace, udf
 from weftspark.sources import sinks
 
 
@@ -11,12 +11,96 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
 
 
-def test_an_end_may_serve_two_starts_and_lone_starts_are_errors(spark):
-    rows = [(1, 0, 10, "s"), (2, 0, 11, "s"), (3, 0, 12, "e"), (4, 0, 13, "s"), (5, 1, 1, "e")]
+def test_starts_take_the_next_record_or_an_end_that_is_no_start_s_next(spark):
+    rows = [(1, 0, 10, "s"), (2, 0, 11, "s"), (3, 0, 12, "e"), (4, 0, 13, "s"), (5, 1, 1, "e"), (6, 2, 1, "s"), (7, 2, 2, "s"), (8, 2, 3, "x"), (9, 2, 4, "e")]
     df = spark.createDataFrame(rows, "id long, stream long, time long, type string")
     p = trace.pair_intervals(df, ["stream"], F.col("type") == "s", F.col("type") == "e")
-    assert sorted((r.id, r.begin, r.end) for r in p.collect()) == [(1, 10, 12), (2, 11, 12), (4, 13, None)]
-    assert {r.id: r.error for r in trace.interval_errors(p, 1).collect()} == {1: "unreasonable duration", 2: None, 4: "no matching end"}
+    # The end at 12 is the next record of the start at 11, so that at 10 can't have it; the one at 4 serves two.
+    assert sorted((r.id, r.begin, r.end) for r in p.collect()) == [(1, 10, None), (2, 11, 12), (4, 13, None), (6, 1, 4), (7, 2, 4)]
+    assert {r.id: r.error for r in trace.interval_errors(p, 2).collect()} == {1: "no matching end", 2: None, 4: "no matching end", 6: "unreasonable duration", 7: None}
+
+
+def test_memory_is_given_back_once_and_by_size_of_its_allocation(spark):
+    rows = [(1, 0, 10, 7, "m", 5), (2, 0, 11, 7, "f", 99), (3, 0, 12, 7, "f", 1), (4, 0, 13, 8, "m", 0), (5, 0, 14, 8, "f", 3), (6, 0, 15, 9, "m", 4), (7, 0, 16, 9, "m", 6), (8, 0, 17, 9, "f", 0)]
+    df = spark.createDataFrame(rows, "id long, node long, time long, ptr long, type string, size long")
+    out = trace.memory_timeline(df, ["node"], "ptr", F.col("type") == "m", "size", width=3)
+    assert [(r.id, r.change, r.total) for r in out.orderBy("time").collect()] == [(1, 5, 5), (2, -5, 0), (6, 4, 4), (7, 6, 10), (8, -6, 4)]
+
+
+def test_buckets_do_not_change_results(spark):
+    rows = [(i, i % 2, (i * 37) % 101, (i * 13) % 17) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, node long, time long, y long")
+    for width in (1, 7, 1000):
+        totals = trace.running_total(df, ["node"], "y", width=width)
+        slopes = trace.derivative(df, ["node"], "time", "y", width=width)
+        spans = trace.clip(df.select("id", "node", F.col("time").alias("begin"), (F.col("time") + F.col("y")).alias("end")), ["node"], width=width)
+        quarts = trace.quantiles(df, "node", "y", {"q1": 0.25, "q3": 0.75}, width)
+        got = [sorted(map(tuple, x.collect()), key=str) for x in (totals, slopes, spans, quarts)]
+        if width == 1:
+            want = got
+        assert got == want
+
+
+def test_products_of_blocks(spark):
+    a = spark.createDataFrame([(i, k, i * 7 - k) for i in range(5) for k in range(6) if (i + k) % 3], "i long, j long, v long")
+    b = spark.createDataFrame([(k, j, k - 2 * j) for k in range(6) for j in range(4) if k != 2], "i long, j long, v long")
+    want = {(r.i, r.j): r.v for r in tiles.multiply(a, b).collect()}
+    for block in (2, 3, 64):
+        assert {(r.i, r.j): r.v for r in udf.multiply_blocks(a, b, block).collect()} == want
+
+
+def test_owners_on_the_extended_diagonal_use_all_pairs(spark):
+    for r in (4, 5, 6, 7, 8):
+        t = spark.range(r * r).select(F.col("id").alias("m"))
+        rows = t.select(placement.symmetric_block_cyclic(F.col("m"), F.col("m"), r, extended=True).alias("o")).groupBy("o").count().collect()
+        assert {x.o for x in rows} <= set(range(r * (r - 1) // 2))
+        # Each pattern of an odd r has each pair of its step once; over all patterns every pair comes equally often.
+        patterns = r - 1 if r % 2 == 0 else (r - 1) // 2
+        whole = spark.range(r * patterns).select(placement.symmetric_block_cyclic(F.col("id"), F.col("id"), r, extended=True).alias("o")).groupBy("o").count().collect()
+        assert len(whole) == r * (r - 1) // 2 and len({x["count"] for x in whole}) == 1
+
+
+def test_large_numbers_are_divided_exactly(spark):
+    big = 2**62 + 12345
+    df = spark.createDataFrame([(big,)], "m long")
+    r = df.select(scalars.divide(F.col("m"), F.lit(3)).alias("a"), placement._div(-F.col("m"), 7).alias("b"), placement.k_view(F.lit(39), 2, 16, 40).alias("c")).first()
+    assert r.a == big // 3 and r.b == -big // 7 and 0 <= r.c < 40
+
+
+def test_moved_null_tiles_stay_null(spark):
+    a = spark.createDataFrame([(0, 0, None), (0, 1, 3)], "m long, n long, tile long")
+    b = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 2, 9)], "m long, n long, tile long")
+    assert sorted(tuple(r) for r in tiles.reshuffle(a, b, 1, 1, (2, 2, 2, 2)).collect()) == [(1, 1, None), (1, 2, 3), (2, 2, 9)]
+    with pytest.raises(ValueError, match="sizes"):
+        tiles.reshuffle(a, b, 1, 1, (2, 2, 2, 3))
+    assert tiles.window_is_stored(3, 2, (5, 1), lower=True) and not tiles.window_is_stored(3, 2, (1, 1), lower=True)
+
+
+def test_random_owners_are_stable_and_in_range(spark):
+    own = lambda: [r.o for r in spark.range(500).select(placement.random_owner(F.col("id"), F.col("id") + 1, 7, 3).alias("o")).collect()]
+    assert own() == own() and set(own()) == set(range(7))
+
+
+def test_paje_and_dumped_graphs(spark, tmp_path):
+    i = spark.createDataFrame([(0, 2, 1000, 3000, "a"), (1, 3, 500, 900, "b")], "node long, stream long, begin long, end long, name string")
+    c = spark.createDataFrame([(0, 700, 5)], "node long, time long, change long")
+    k = spark.createDataFrame([(0, 2, 3000, 1, 3, 3100, 1)], "from_node long, from_stream long, begin long, to_node long, to_stream long, end long, key long")
+    sinks.write_paje(i, str(tmp_path / "p"), c, k)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "p")).coalesce(1).collect()]
+    at = {x: n for n, x in enumerate(lines)}
+    assert lines[: len(sinks.PAJE)] == sinks.PAJE and lines[-1] == '8 3100 L_C C_Appli P1T3 "" "1"'
+    assert at['4 0.0 P0 CT_P C_Appli "Process 0"'] < at['4 0.0 P0T2 CT_T P0 "Thread 2"'] < at['5 500 ST_T P1T3 "b"'] < at["6 700 V_P P0 5"] < at['5 3000 ST_T P0T2 "Waiting"']
+    tasks = spark.createDataFrame([("T_0", 1, 0, "GEMM", "3, 4", "loc", 7, 2, 5, "gemm", 9), ("T_1", 0, 0, "TRSM", "1", "", 0, 2, 6, "trsm", 10)], "name string, thid int, vpid int, label string, param string, local string, prio int, tpid int, tcid int, tcname string, tid int")
+    edges = spark.createDataFrame([("T_0", "T_1", "C", "A", "00FF00", "solid")], "src string, dst string, flow_src string, flow_dst string, color string, style string")
+    sinks.write_dot(tasks, edges, str(tmp_path / "g"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "g")).coalesce(1).collect()]
+    assert text[0] == "digraph G {" and text[-1] == "}"
+    a, b = sinks.read_task_graph(spark, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in a.collect()) == [("T_0", 1, 0, "GEMM", "3, 4", "loc", 7, 2, 2, 5, "gemm", 9), ("T_1", 0, 0, "TRSM", "1", "", 0, 2, 2, 6, "trsm", 10)]
+    assert [tuple(r) for r in b.collect()] == [("T_0", "T_1", "C", "A", "00FF00", "solid")]
+    (tmp_path / "bad").write_text("digraph G {\nwhat is this\n}\n")
+    with pytest.raises(Exception, match="neither a task nor a link"):
+        sinks.read_task_graph(spark, str(tmp_path / "bad"))[0].collect()
 
 
 def test_conditions_are_compared_not_run(spark):
@@ -43,6 +127,7 @@ def test_small_helpers():
     assert scalars.common_substring(["xabcy", "zabc", "abcd"]) == "abc" and scalars.common_substring([]) == ""
     assert scalars.parse_range("1:7:3") == [1, 4, 7] and scalars.parse_range("5") == [5]
     assert scalars.lookup_alias(["PARAM_N", "M"], "n") == "PARAM_N"
+    assert scalars.replace_last("a.b.c", ".", "-") == "a.b-c" and [scalars.tree_height(n) for n in (1, 2, 3, 4, 5)] == [0, 1, 2, 2, 3]
     assert sorted(graph.topological_orders([1, 2, 3], [(1, 3)])) == [[1, 2, 3], [1, 3, 2], [2, 1, 3]]
 
 
@@ -50,8 +135,6 @@ def test_sinks_round_trip(spark, tmp_path):
     i = spark.createDataFrame([(1, 0, 2, 1000, 3000, "a"), (2, 0, 2, 4000, 9000, "SYS b")], "id long, node long, stream long, begin long, end long, name string")
     sinks.write_chrome(i, str(tmp_path / "c"), skip=("SYS",))
     assert [(r["name"], r.ts, r.dur) for r in spark.read.json(str(tmp_path / "c")).collect()] == [("a", 1.0, 2.0)]
-    sinks.write_paje(i, str(tmp_path / "p"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()][0] == '11 1000 C0_2 "a"'
     sinks.write_xml(i, str(tmp_path / "x"))
     assert spark.read.format("xml").option("rowTag", "thread").load(str(tmp_path / "x")).count() == 1
     tasks = spark.createDataFrame([("t1", "A"), ("t2", "B")], "id string, label string")

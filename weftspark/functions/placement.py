@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _div(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("long")
+    """Whole division that rounds down, exact for all longs."""
+    return F.call_function("div", a.cast("long") - F.pmod(a.cast("long"), F.lit(b)), F.lit(b).cast("long"))
 
 
 @dataclass(frozen=True)
@@ -38,13 +39,17 @@ def k_cyclic(m: Column, n: Column, g: Grid, kp: int, kq: int) -> Column:
     return block_cyclic(_div(m, kp), _div(n, kq), g)
 
 
-def k_view(x: Column, p: int, ps: int, size: int, steps: int = 8) -> Column:
-    """A view's tile row (or column) in storage: groups of p * ps are permuted, again until it is in range."""
+def k_view(x: Column, p: int, ps: int, size: int) -> Column:
+    """A view's tile row (or column) in storage: groups of p * ps are permuted, again until it is in range.
+
+    A permutation of p * ps places is back where it began after so many turns at most, so a
+    place in range is always found.
+    """
     def turn(v: Column) -> Column:
         return v - v % (p * ps) + (v % ps) * p + _div(v, ps) % p
 
-    # A fold over the steps: nesting the expression in itself would make it grow fourfold with each.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), turn(x).cast("long"), lambda v, _: F.when(v >= size, turn(v)).otherwise(v).cast("long"))
+    # A fold over the turns: nesting the expression in itself would make it grow fourfold with each.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(p * ps)), turn(x).cast("long"), lambda v, _: F.when(v >= size, turn(v)).otherwise(v).cast("long"))
 
 
 def symmetric(m: Column, n: Column, g: Grid, lower: bool = True) -> Column:
@@ -56,16 +61,25 @@ def symmetric_block_cyclic(m: Column, n: Column, r: int, extended: bool = False,
     """Owners by unordered pairs of coordinates modulo r.
 
     Pair {a, b} with a < b has rank b (b - 1) / 2 + a. On the diagonal the basic form has
-    r / 2 more ranks; the extended form (odd r) takes the pair {d, d + l} instead, or
-    {d + l - r, d} past the end, with l going round by column block.
+    r / 2 more ranks. The extended form uses pairs there too: place d is paired with d + l,
+    going round past r, where l goes round by column block. An odd r has (r - 1) / 2 such
+    patterns. An even r has r / 2 - 1 of them and r / 2 more, in which the left half's l lags
+    one behind: it is r / 2 in the first of these, and the right half is paired with the left
+    in the last.
     """
-    if extended and r % 2 == 0:
-        raise ValueError("the extended form is built for odd r")
     a, b = m % r, n % r
     pair = lambda x, y: _div(F.greatest(x, y) * (F.greatest(x, y) - 1), 2) + F.least(x, y)
     if extended:
-        turn = _div(n, r) % ((r - 1) // 2) + 1
-        diagonal = F.when(a < r - turn, pair(a, a + turn)).otherwise(pair(a + turn - r, a))
+        half = r // 2
+        plain = half if r % 2 else half - 1
+        pattern = _div(n, r) % (plain if r % 2 else r - 1)
+        step = pattern + 1
+        if r % 2 == 0:
+            shifted = pattern - plain
+            left = F.when(shifted == 0, half).otherwise(shifted)
+            right = F.when(shifted == plain, half).otherwise(shifted + 1)
+            step = F.when(shifted < 0, step).when(a < half, left).otherwise(right)
+        diagonal = pair(a, (a + step) % r)
     else:
         diagonal = F.lit(r * (r - 1) // 2) + a % (r // 2)
     return F.when(m >= n if lower else m <= n, F.when(a != b, pair(a, b)).otherwise(diagonal))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,8 +40,37 @@ def describe_run(keys: list[str]) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Integer division that cuts towards zero, as C has it; F.col % is C's remainder already."""
-    return F.when(b != 0, (F.abs(a) - F.abs(a) % F.abs(b)) / F.abs(b) * F.signum(a) * F.signum(b)).cast("long")
+    """Integer division that cuts towards zero, as C has it; null for a divisor of 0. F.col % is C's remainder already."""
+    return F.when(b != 0, F.call_function("div", a.cast("long"), b.cast("long")))
+
+
+def inline(body: Callable, kind: str) -> Callable[..., Column]:
+    """A Python expression over whole columns (pandas Series), for what Column expressions can't say."""
+    return F.pandas_udf(body, kind)
+
+
+def tree_height(tiles: int) -> int:
+    """Levels of merges that so many tiles need."""
+    return max(0, tiles - 1).bit_length()
+
+
+def width_at_level(level: Column, tiles: Column) -> Column:
+    """Nodes of a merge tree at a level: half of those below, rounded up, each time."""
+    size = F.pow(F.lit(2.0), level).cast("long")
+    return F.call_function("div", tiles + size - 1, size)
+
+
+def merged_size(level: Column, i: Column, tile: int, tiles: Column) -> Column:
+    """Values that node ``i`` of a level holds: a full subtree's, but for the last node, which holds the rest; null past the end."""
+    full = F.pow(F.lit(2.0), level).cast("long") * tile
+    width = width_at_level(level, tiles)
+    return F.when(i < width - 1, full).when(i == width - 1, tiles * tile - full * (width - 1))
+
+
+def replace_last(text: str, old: str, new: str, count: int = 1) -> str:
+    """``text`` with the last ``count`` places of ``old`` replaced."""
+    parts = text.rsplit(old, count)
+    return new.join(parts)
 
 
 def common_substring(names: list[str]) -> str:

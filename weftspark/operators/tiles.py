@@ -117,10 +117,27 @@ def redistribute(source: DataFrame, target: DataFrame, rows: int, cols: int, at:
     return target.join(moved, ["i", "j"], "left").select("i", "j", F.when(F.col("_p"), F.col("_v")).otherwise(F.col("v")).alias("v"))
 
 
-def reshuffle(source: DataFrame, target: DataFrame, dm: int, dn: int) -> DataFrame:
-    """Whole tiles (m, n, tile) of equal size, moved by (dm, dn) tiles over the target's."""
-    moved = source.select((F.col("m") + dm).alias("m"), (F.col("n") + dn).alias("n"), F.col("tile").alias("_t"))
-    return target.join(moved, ["m", "n"], "left").select("m", "n", F.coalesce("_t", "tile").alias("tile"))
+def reshuffle(source: DataFrame, target: DataFrame, dm: int, dn: int, sizes: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Whole tiles (m, n, tile), moved by (dm, dn) tiles over the target's; null tiles are moved too.
+
+    ``sizes`` (rows and columns of a source tile, then of a target tile) have to agree.
+    """
+    if sizes is not None and sizes[:2] != sizes[2:]:
+        raise ValueError("tiles of different sizes can't be moved whole")
+    moved = source.select((F.col("m") + dm).alias("m"), (F.col("n") + dn).alias("n"), F.col("tile").alias("_t"), F.lit(True).alias("_p"))
+    return target.join(moved, ["m", "n"], "left").select("m", "n", F.when(F.col("_p"), F.col("_t")).otherwise(F.col("tile")).alias("tile"))
+
+
+def window_is_stored(rows: int, cols: int, at: tuple[int, int], lower: bool | None = None) -> bool:
+    """Whether a window lies in the stored triangle (``lower`` or upper; None stores all)."""
+    i, j = at
+    return lower is None or (i >= j + cols - 1 if lower else j >= i + rows - 1)
+
+
+def reshape(cells: DataFrame, kind: str, to: str | None = None, diagonal: bool = True) -> DataFrame:
+    """The cells of a region alone, in another type where ``to`` names one that differs."""
+    kept = cells if kind == FULL else cells.filter(region(kind, diagonal))
+    return kept if to is None or kept.schema["v"].dataType.simpleString() == to else kept.withColumn("v", F.col("v").cast(to))
 
 
 def broadcast_root(data: DataFrame, root: Column, receivers: DataFrame) -> DataFrame:
@@ -128,18 +145,28 @@ def broadcast_root(data: DataFrame, root: Column, receivers: DataFrame) -> DataF
     return receivers.crossJoin(F.broadcast(data.filter(root).limit(1)))
 
 
-def stencil(cells: DataFrame, weights: dict[int, float], rounds: int = 1, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Weighted sums of neighbours along j, nought past the ends. ``each`` may cut the lineage after a round."""
+def stencil(cells: DataFrame, weights: dict[int, float], rounds: int = 1, each: Callable[[DataFrame], DataFrame] | None = None, width: int = 1024) -> DataFrame:
+    """Weighted sums of neighbours along j, nought past the ends. ``each`` may cut the lineage after a round.
+
+    Columns are cut into tiles of ``width``; a tile gets copies of the cells that its edges
+    need, so a task holds a tile of a row and not the row.
+    """
     if not any(k for k in weights):
         raise ValueError("a radius of 1 or more is asked for")
-    w = Window.partitionBy("i").orderBy("j")
+    radius = max(abs(k) for k in weights)
+    if radius > width:
+        raise ValueError("a tile is no narrower than the radius")
+    w = Window.partitionBy("i", "_t").orderBy("j")
 
     def at(k: int) -> Column:
         v = F.col("v") if k == 0 else F.lag("v", -k).over(w) if k < 0 else F.lead("v", k).over(w)
         return F.coalesce(v, F.lit(0))
 
     for _ in range(rounds):
-        cells = cells.select("i", "j", reduce(lambda a, b: a + b, [at(k) * F.lit(x) for k, x in sorted(weights.items())]).alias("v"))
+        reached = F.array_distinct(F.array(*(_div(F.col("j") + k, width) for k in (-radius, 0, radius))))
+        copies = cells.select("i", "j", "v", F.explode(reached).alias("_t"))
+        summed = copies.select("i", "j", "_t", reduce(lambda a, b: a + b, [at(k) * F.lit(x) for k, x in sorted(weights.items())]).alias("v"))
+        cells = summed.filter(_div(F.col("j"), width) == F.col("_t")).select("i", "j", "v")
         cells = each(cells) if each else cells
     return cells
 

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of a time bucket, in microseconds.
+HOUR = 3_600_000_000
+
+
 def _before(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -21,10 +25,41 @@ def _upto(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def pair_intervals(records: DataFrame, keys: list[str], start: Column, end: Column, time: str = "time", id: str = "id") -> DataFrame:
-    """Starts with the next end of the same keys. An end may serve several starts; a start without one has a null end."""
-    later = Window.partitionBy(*keys).orderBy(time, id).rowsBetween(1, Window.unboundedFollowing)
-    return records.withColumn("_s", start).withColumn("end", F.min(F.when(end, F.col(time))).over(later)).filter("_s").drop("_s").withColumn("begin", F.col(time))
+def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Starts with their end: ``begin``, and ``end`` or null.
+
+    An end fits a start if it is not earlier and the ``same`` columns agree. A start takes
+    the next record of its thread if that is a fitting end. Else it takes the first fitting end
+    of its thread that isn't the next record of a start it fits itself; else, where ``others``
+    names the columns of a file, such an end of the first other thread of the file that has one.
+    An end may serve several starts. ``order`` is that of a thread's records (time, then id).
+    """
+    within = Window.partitionBy(*thread).orderBy(*(order or [time, id]))
+    marked = records.withColumns({"_s": F.coalesce(start, F.lit(False)), "_e": F.coalesce(end, F.lit(False))})
+
+    def alike(move) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(move(c)) for c in same), F.lit(True))
+
+    def after(c: str) -> Column:
+        return F.lead(c).over(within)
+
+    def before(c: str) -> Column:
+        return F.lag(c).over(within)
+
+    direct = F.when(F.col("_s") & after("_e") & alike(after) & (after(time) >= F.col(time)), after(time))
+    taken = F.col("_e") & F.coalesce(before("_s") & alike(before) & (before(time) <= F.col(time)), F.lit(False))
+    seen = marked.withColumns({"_d": direct, "_c": F.when(F.col("_e") & ~taken, F.col(time))})
+    # Backwards, so that the frame only grows.
+    later = Window.partitionBy(*thread, *same).orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
+    found = seen.withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later))).filter("_s").withColumn("begin", F.col(time))
+    if others is not None:
+        stream = next(c for c in thread if c not in others)
+        free = seen.filter("_c IS NOT NULL").select(*others, *same, F.col(stream).alias("_t"), F.col("_c").alias("_te"))
+        lone = found.filter("end IS NULL").select(*dict.fromkeys([*thread, id, *others, *same, "begin"]))
+        fits = lone.join(free, [*others, *same]).filter((F.col("_te") >= F.col("begin")) & (F.col("_t") != F.col(stream)))
+        first = fits.groupBy(*thread, id).agg(F.min(F.struct("_t", "_te")).alias("_m"))
+        found = found.join(first, [*thread, id], "left").withColumn("end", F.coalesce("end", "_m._te")).drop("_m")
+    return found.drop("_s", "_e", "_d", "_c")
 
 
 def validate(records: DataFrame, known: Column, keys: list[str], order: str, time: str = "time") -> DataFrame:
@@ -49,10 +84,29 @@ def count_by_node(events: DataFrame, type: str, node: str, nodes: list) -> DataF
     return events.groupBy(type).agg(*(F.count(F.when(F.col(node) == n, 1)).alias(f"node_{n}") for n in nodes))
 
 
-def describe(events: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, mean, least, quartiles and largest of a value."""
-    quart = [F.percentile(value, q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return events.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), *quart, F.max(value).alias("largest"))
+def quantiles(events: DataFrame, by: str, value: str, wanted: dict[str, float], width: int) -> DataFrame:
+    """Exact interpolated quantiles of a whole-number column: a row for each group that has a value.
+
+    Distinct values are counted and added up in buckets of ``width``, so no task holds a group.
+    """
+    counts = events.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counts, [by], {"_upto": "_n"}, [value], width)
+    rows = upto.join(counts.groupBy(by).agg(F.sum("_n").alias("_all")), by)
+    at = {name: (F.col("_all") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    sides = [F.min(F.when(F.col("_upto") > side(place), F.col(value))).alias(f"_{tag}_{name}") for name, place in at.items() for tag, side in (("a", F.floor), ("b", F.ceil))]
+    out = rows.groupBy(by).agg(F.max("_all").alias("_all"), *sides)
+    return out.select(by, *((F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (p - F.floor(p))).alias(n) for n, p in at.items()))
+
+
+def describe(events: DataFrame, by: str, value: str, width: int = 1000) -> DataFrame:
+    """Count, mean, standard deviation (n - 1; null for one row), least, quartiles and largest of a whole-number value."""
+    wide = F.col(value).cast("decimal(20,0)")
+    sums = events.groupBy(by).agg(F.count(value).alias("n"), F.sum(value).alias("_s"), F.sum(wide * wide).cast("double").alias("_s2"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    var = (F.col("_s2") - F.col("_s").cast("double") * F.col("_s") / F.col("n")) / (F.col("n") - 1)
+    std = F.when(F.col("n") > 1, F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 3))
+    quarts = quantiles(events, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, width)
+    mean = F.when(F.col("n") > 0, F.col("_s").cast("double") / F.col("n"))
+    return sums.join(quarts, by, "left").select(by, "n", mean.alias("mean"), std.alias("std"), "least", "q1", "median", "q3", "largest")
 
 
 def spread(events: DataFrame, by: str, value: str) -> DataFrame:
@@ -68,17 +122,21 @@ def spread(events: DataFrame, by: str, value: str) -> DataFrame:
     return sums.select(by, "n", mean.alias("mean"), F.round(var, 3).alias("variance"), (100 * F.sqrt(F.greatest(var, F.lit(0.0))) / mean).cast("long").alias("rsd"))
 
 
-def extents(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Begin, end and duration of each stream."""
-    out = intervals.groupBy(*keys).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+def extents(records: DataFrame, intervals: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
+    """Begin, end and duration of each stream: from its least accepted record, ends included, to the largest end of a valid interval (0 if none)."""
+    first = records.groupBy(*keys).agg(F.min(time).alias("begin"))
+    last = intervals.groupBy(*keys).agg(F.max("end").alias("end"))
+    out = first.join(last, keys, "left").withColumn("end", F.coalesce("end", F.lit(0).cast("long")))
     return out.withColumn("duration", F.col("end") - F.col("begin"))
 
 
-def common_information(info: DataFrame, node: str = "node", key: str = "key", value: str = "value") -> DataFrame:
-    """Keys whose value all nodes that have it agree on; a value of 0 contradicts none."""
-    own = info.withColumn("_v", F.when(F.col(value) != 0, F.col(value)))
-    agreed = own.groupBy(key).agg(F.min("_v").alias("a"), F.max("_v").alias("b"), F.count("_v").alias("n"))
-    return agreed.filter((F.col("n") == 0) | (F.col("a") == F.col("b"))).select(key, F.coalesce("a", F.lit(0)).alias(value))
+def common_information(info: DataFrame, node: str = "node", key: str = "key", value: str = "value", first: int = 0) -> DataFrame:
+    """The first node's keys whose value no other node contradicts; a node without the key or with value 0 doesn't."""
+    own = F.col(node) == first
+    other = F.when(~own & (F.col(value) != 0), F.col(value))
+    seen = info.groupBy(key).agg(F.max(F.when(own, F.col(value))).alias("_v"), F.min(other).alias("_a"), F.max(other).alias("_b"))
+    kept = seen.filter("_v IS NOT NULL AND (_a IS NULL OR (_a = _v AND _b = _v))")
+    return kept.select(key, F.col("_v").alias(value))
 
 
 def merge_information(info: DataFrame, runs: int, key: str = "key", value: str = "value") -> DataFrame:
@@ -87,17 +145,44 @@ def merge_information(info: DataFrame, runs: int, key: str = "key", value: str =
     return out.filter(F.col("r") == runs).select(key, F.when(F.col("a") == F.col("b"), F.col("a").cast("double")).otherwise(F.col("m")).alias(value), (F.col("a") == F.col("b")).alias("equal"))
 
 
-def running_total(changes: DataFrame, keys: list[str], change: str, time: str = "time", id: str = "id") -> DataFrame:
+def running_totals(changes: DataFrame, keys: list[str], totals: dict[str, str], order: list[str], width: int) -> DataFrame:
+    """Running totals ``{new column: changes}`` in an order that begins with a time; rows without a key or time are left out.
+
+    Time is cut into buckets of ``width``, and a bucket starts from the sums of those before,
+    so a task holds a bucket's rows and not all of a key's.
+    """
+    cut = changes.withColumn("_b", F.floor(F.col(order[0]) / F.lit(width)))
+    sums = cut.groupBy(*keys, "_b").agg(*(F.sum(c).alias(f"_0{n}") for n, c in totals.items()))
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_b", *(F.coalesce(F.sum(f"_0{n}").over(past), F.lit(0)).alias(f"_0{n}") for n in totals))
+    inside = _upto([*keys, "_b"], *order)
+    joined = cut.join(starts, [*keys, "_b"])
+    return joined.select(*changes.columns, *((F.col(f"_0{n}") + F.sum(c).over(inside)).alias(n) for n, c in totals.items()))
+
+
+def running_total(changes: DataFrame, keys: list[str], change: str, time: str = "time", id: str = "id", width: int = HOUR) -> DataFrame:
     """``total`` after each change."""
-    return changes.withColumn("total", F.sum(change).over(_upto(keys, time, id)))
+    return running_totals(changes, keys, {"total": change}, [time, id] if id != time else [time], width)
+
+
+def memory_timeline(events: DataFrame, keys: list[str], pointer: str, allocates: Column, size: str, time: str = "time", id: str = "id", width: int = HOUR) -> DataFrame:
+    """Memory in use after each allocation and each matched free, as ``change`` and ``total``.
+
+    A free gives back what the event before it with its pointer allocated; a free that follows
+    another free, or nothing, has no row; allocations of size 0 are passed over.
+    """
+    kept = events.withColumn("_m", allocates).filter(~F.col("_m") | (F.col(size) > 0))
+    w = Window.partitionBy(*keys, pointer).orderBy(time, id)
+    freed = F.when(F.lag("_m").over(w), -F.lag(size).over(w))
+    changes = kept.withColumn("change", F.when(F.col("_m"), F.col(size)).otherwise(freed)).filter("change IS NOT NULL").drop("_m")
+    return running_total(changes, keys, "change", time, id, width)
 
 
-def counter_timeline(intervals: DataFrame, keys: list[str], size: str) -> DataFrame:
+def counter_timeline(intervals: DataFrame, keys: list[str], size: str, width: int = HOUR) -> DataFrame:
     """+size at each begin and -size at each end, with the running total."""
     sides = F.explode(F.array(F.struct(F.col("begin").alias("time"), F.lit(0).alias("side"), F.col(size).alias("change")), F.struct(F.col("end").alias("time"), F.lit(1).alias("side"), (-F.col(size)).alias("change"))))
     rows = intervals.select(*keys, "id", sides.alias("x")).select(*keys, "id", "x.*")
-    order = Window.partitionBy(*keys).orderBy("time", "side", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("total", F.sum("change").over(order))
+    return running_totals(rows, keys, {"total": "change"}, ["time", "side", "id"], width)
 
 
 def next_match(records: DataFrame, keys: list[str], columns: list[str], time: str = "time", id: str = "id") -> DataFrame:
@@ -106,18 +191,28 @@ def next_match(records: DataFrame, keys: list[str], columns: list[str], time: st
     return records.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
 
 
-def clip(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals without what earlier ones on their stream cover already; wholly covered ones go."""
-    covered = F.max("end").over(_before(keys, "begin", "id"))
-    seen = intervals.withColumn("_c", covered)
-    return seen.filter(F.col("_c").isNull() | (F.col("end") > F.col("_c"))).withColumn("begin", F.greatest("begin", F.coalesce("_c", F.col("begin")))).drop("_c")
+def clip(intervals: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
+    """Intervals without what earlier ones of their keys cover already; wholly covered ones go.
 
+    The largest end so far is that of the time buckets before, and of the rows before in the bucket.
+    """
+    cut = intervals.withColumn("_b", F.floor(F.col("begin") / F.lit(width)))
+    most = cut.groupBy(*keys, "_b").agg(F.max("end").alias("_m"))
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = most.select(*keys, "_b", F.max("_m").over(past).alias("_m"))
+    seen = cut.join(ends, [*keys, "_b"]).withColumn("_c", F.greatest("_m", F.max("end").over(_before([*keys, "_b"], "begin", "id"))))
+    return seen.filter(F.col("_c").isNull() | (F.col("end") > F.col("_c"))).withColumn("begin", F.greatest("begin", F.coalesce("_c", F.col("begin")))).drop("_c", "_b", "_m")
 
-def derivative(points: DataFrame, keys: list[str], x: str, y: str, least: float = 1e-4) -> DataFrame:
-    """dy/dx of neighbours; null for the first and where x hardly moves."""
-    w = Window.partitionBy(*keys).orderBy(x, "id")
-    dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
-    return points.withColumn("slope", F.when(F.abs(dx) > least, dy / dx))
+
+def derivative(points: DataFrame, keys: list[str], x: str, y: str, least: float = 1e-4, width: float = 3600) -> DataFrame:
+    """dy/dx of neighbours; null for the first and where x hardly moves. A bucket's first point follows the last of the bucket before."""
+    cut = points.withColumn("_b", F.floor(F.col(x) / F.lit(width)))
+    lasts = cut.groupBy(*keys, "_b").agg(F.max(F.struct(x, "id", y)).alias("_l"))
+    before = lasts.select(*keys, "_b", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b")).alias("_l"))
+    w = Window.partitionBy(*keys, "_b").orderBy(x, "id")
+    joined = cut.join(before, [*keys, "_b"])
+    dx, dy = (F.col(c) - F.coalesce(F.lag(c).over(w), F.col("_l")[c]) for c in (x, y))
+    return joined.withColumn("slope", F.when(F.abs(dx) > least, dy / dx)).drop("_b", "_l")
 
 
 def occurrences(events: DataFrame, keys: list[str], most: int, time: str = "time", id: str = "id") -> DataFrame:
@@ -189,6 +284,43 @@ def columns_from(df: DataFrame, first: str) -> DataFrame:
     return df.select(*df.columns[df.columns.index(first) :])
 
 
+def build_events(raw: DataFrame, known: Column, longest: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, errors) of raw records: node_id, stream_id, position, type, is_end, flags, taskpool_id, event_id, timestamp.
+
+    A record of an unknown type, or before its predecessor, is an error. A start that is
+    neither becomes an event with its end; it is an error without one, or if it ends before
+    it begins or lasts longer than ``longest``. Ends make no rows of their own.
+    """
+    thread = ["node_id", "stream_id"]
+    checked = validate(raw, known, thread, "position", "timestamp")
+    paired = pair_intervals(checked, thread, ~F.col("is_end"), F.col("is_end"), ("type", "event_id", "taskpool_id"), ["node_id"], "timestamp", "position", ["position"])
+    took = F.col("end") - F.col("begin")
+    bad = (took < 0) if longest is None else (took < 0) | (took > longest)
+    told = paired.filter("error IS NULL").withColumn("error", F.when(F.col("end").isNull(), "no matching end").when(bad, "unreasonable duration"))
+    own = [*thread, "position", "taskpool_id", "type", "begin", "end", "flags", F.col("event_id").alias("id")]
+    refused = checked.filter("error IS NOT NULL").withColumns({"begin": F.col("timestamp"), "end": F.lit(None).cast("long")})
+    errors = told.filter("error IS NOT NULL").select(*own, F.col("error").alias("error_msg")).unionByName(refused.select(*own, F.col("error").alias("error_msg")))
+    return told.filter("error IS NULL").select(*own), errors
+
+
+def with_errors(events: DataFrame, errors: DataFrame) -> DataFrame:
+    """Events and errors in one table; an event's error_msg is null."""
+    return events.unionByName(errors, allowMissingColumns=True)
+
+
+def check_messages(events: DataFrame, wanted: dict[str, tuple[int, int]], type: str = "type", size: str = "msg_size") -> DataFrame:
+    """(type, n, bytes, fine): how many messages of each wanted type there are and their size, and whether that is as wanted."""
+    got = events.filter(F.col(type).isin(*wanted)).groupBy(type).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    n, total = (F.coalesce(*(F.when(F.col(type) == t, F.lit(w[k])) for t, w in wanted.items())) for k in (0, 1))
+    return got.withColumn("fine", (F.col("n") == n) & (F.col("bytes") == total))
+
+
+def group_runs(nodes: DataFrame, by: tuple[str, ...] = ("worldsize", "SYNC_TIME_ELAPSED", "cwd", "exe"), file: str = "filename") -> DataFrame:
+    """Files that belong to one run: a row for each combination of what tells runs apart; a file stands in one only."""
+    have = [c for c in by if c in nodes.columns]
+    return nodes.groupBy(*have).agg(F.array_sort(F.collect_set(file)).alias("files"), F.count(F.lit(1)).alias("n"))
+
+
 def merge_runs(runs: dict[int, DataFrame]) -> DataFrame:
     """Runs one below the other, each with its start_time; a column that a run lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("start_time", F.lit(t)) for t, df in runs.items()))

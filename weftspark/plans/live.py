@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.plans.trace import EV
+from weftspark.sources.shared import folder
 from weftspark.streaming import live
 
 QUERIES, SQL = {}, {}
@@ -20,10 +19,18 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"live_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is there; each batch is a folder of its own, so one that is run again replaces itself."""
+    spark, path = stream.sparkSession, folder(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    done = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    if mode == "complete":  # the last batch has everything
+        done = done.join(done.agg(F.max("batch").alias("batch")), "batch")
+    return done
 
 
 def live_reduce(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +43,15 @@ def live_slopes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", "process", "unit", "id", F.round("slope", 3).alias("slope"))
 
 
-QUERIES |= {"live_reduce": live_reduce, "live_slopes": live_slopes}
+def live_buffers(spark: SparkSession, sf: str) -> DataFrame:
+    out = _finished(live.buffers(_stream(spark, sf)), "update")
+    last = out.groupBy("key", "process", "unit").agg(F.max_by(F.struct("visible", "oldest"), "batch").alias("m"))
+    return last.select("key", "process", "unit", "m.visible", F.round("m.oldest", 3).alias("oldest"))
+
+
+QUERIES |= {"live_reduce": live_reduce, "live_slopes": live_slopes, "live_buffers": live_buffers}
 _P = EV + ", p AS (SELECT type AS key, node AS process, id % 5 AS unit, id, time::DOUBLE / 1000000 - 1704067200 AS x, size::DOUBLE AS y FROM ev)"
 SQL["live_reduce"] = f"WITH {_P}, l AS (SELECT key, process, unit, max_by(y, x) AS y, max(x) AS x FROM p GROUP BY ALL) SELECT key, process, CAST(sum(y) AS BIGINT) AS y, round(avg(x), 3) AS x FROM l GROUP BY key, process"
 SQL["live_slopes"] = f"WITH {_P}, d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY key, process, unit ORDER BY x, id)) SELECT key, process, unit, id, round(dy / dx, 3) AS slope FROM d WHERE abs(dx) > 0.0001"
+SQL["live_buffers"] = f"""WITH {_P}, n AS (SELECT *, row_number() OVER (PARTITION BY key, process, unit ORDER BY x, id) AS k, count(*) OVER (PARTITION BY key, process, unit) AS c FROM p),
+v AS (SELECT *, CASE WHEN c <= 200 THEN c ELSE 101 + (c - 201) % 100 END AS visible FROM n) SELECT key, process, unit, visible, round(x, 3) AS oldest FROM v WHERE k = c - visible + 1"""

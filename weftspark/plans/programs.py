@@ -10,7 +10,7 @@ from weftspark.functions.placement import Grid
 from weftspark.operators import graph as G
 from weftspark.operators import trace as T
 from weftspark.plans.tiles import TILES, tiles
-from weftspark.plans.trace import EV, IV, events, intervals
+from weftspark.plans.trace import DESCRIBE, EV, IV, events, intervals
 
 QUERIES, SQL = {}, {}
 
@@ -80,7 +80,7 @@ def function_describe_run(s, d):
     return p.select(F.col("p_partkey").alias("id"), scalars.describe_run(["p_size", "p_brand"]).alias("description"))
 
 
-@query(f"WITH {EV} SELECT type, count(size) AS n, sum(size)::DOUBLE / count(size) AS mean, min(size) AS least, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3, max(size) AS largest FROM ev WHERE ptr > 40 GROUP BY type")
+@query(f"WITH {EV} SELECT type, {DESCRIBE} FROM ev WHERE ptr > 40 GROUP BY type")
 def trace_counter_stats(s, d):
     """A description of a counter where another one is positive."""
     return T.describe(events(s, d).filter("ptr > 40"), "type", "size")

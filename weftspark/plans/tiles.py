@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.functions import placement as P
 from weftspark.functions.placement import Grid
 from weftspark.operators import tiles as M
+from weftspark.operators import udf as U
 
 CELLS = """c AS (SELECT vec_id AS i, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding) AS x FROM embeddings),
 a AS (SELECT i, j, CAST(round(x::DOUBLE * 1000000) AS BIGINT) AS v FROM c)"""
@@ -86,9 +88,10 @@ for _by, _key in (("all", ""), ("row", "i // 16 AS m, "), ("col", "j // 16 AS n,
     query(f"WITH {CELLS} SELECT {_key}i % 16 AS a, j % 16 AS b, CAST(sum(v) AS BIGINT) AS v FROM a GROUP BY ALL", f"tile_reduce_{_by}")(lambda s, d, k=_by: M.reduce_tiles(cells(s, d), 16, 16, F.sum, k))
 
 
-@query(f"WITH {CELLS} SELECT i % 100 AS a, j AS b, max(v) AS v FROM a GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT i % 100 AS a, j AS b, CAST(sum(v) AS BIGINT) AS v FROM a GROUP BY ALL")
 def tile_reduce_general(s, d):
-    return M.reduce_tiles(cells(s, d), 100, 64, F.max)
+    """Any number of tiles: the sum doesn't depend on the shape of the tree."""
+    return M.reduce_tiles(cells(s, d), 100, 64, F.sum)
 
 
 @query(f"WITH {CELLS} SELECT i, j, v, CAST(sum(v) OVER (PARTITION BY j) AS BIGINT) AS total FROM a")
@@ -96,17 +99,20 @@ def tile_allreduce(s, d):
     return M.all_reduce(cells(s, d), F.sum).select("i", "j", "v", "total")
 
 
-@query(f"WITH {CELLS} SELECT x.i, y.j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.j = y.i WHERE x.i < 64 AND y.i < 64 GROUP BY x.i, y.j")
+@query(f"WITH {CELLS} SELECT x.i, y.j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.j = y.i WHERE y.i < 64 GROUP BY x.i, y.j")
 def tile_gemm(s, d):
-    c = cells(s, d).filter("i < 64")
-    return M.multiply(c, c)
+    """All vectors times the square matrix of the first 64, which is as many as a vector has components."""
+    c = cells(s, d)
+    return U.multiply_blocks(c, c.filter("i < 64"))
 
 
 @query(f"""WITH {CELLS}, w AS (SELECT i - 30 + 100 AS i, j - 4 + 12 AS j, v FROM a WHERE i BETWEEN 30 AND 229 AND j BETWEEN 4 AND 43)
 SELECT a.i, a.j, CASE WHEN w.i IS NOT NULL THEN w.v ELSE -a.v END AS v FROM a LEFT JOIN w ON a.i = w.i AND a.j = w.j""")
 def tile_redistribute(s, d):
     c = cells(s, d)
-    return M.redistribute(c, c.select("i", "j", (-F.col("v")).alias("v")), 200, 40, (30, 4), (100, 12), (500, 64), (500, 64))
+    last = c.agg(F.max("i"), F.max("j")).first()
+    shape = (last[0] + 1, last[1] + 1)
+    return M.redistribute(c, c.select("i", "j", (-F.col("v")).alias("v")), 200, 40, (30, 4), (100, 12), shape, shape)
 
 
 @query(f"""WITH {CELLS}, t AS (SELECT i // 10 AS m, j // 16 AS n, sum(v) AS s FROM a GROUP BY ALL)
@@ -197,3 +203,83 @@ def tile_geometry(s, d):
     from weftspark.functions.scalars import tile_label
 
     return tiles(s).select("m", "n", tile_label(F.col("m"), F.col("n")).alias("label"), (F.col("n") * 40 + F.col("m")).alias("key"), F.least(F.lit(16), 630 - F.col("m") * 16).alias("height"))
+
+
+_owner("sbc_extended_even", lambda m, n: P.symmetric_block_cyclic(m, n, 6, extended=True), f"""CASE WHEN m >= n THEN CASE WHEN m % 6 <> n % 6 THEN {_PAIR.format('m % 6', 'n % 6')} ELSE
+list_extract(CASE n // 6 % 5 WHEN 0 THEN [0, 2, 5, 9, 14, 10] WHEN 1 THEN [1, 4, 8, 13, 6, 11] WHEN 2 THEN [3, 7, 12, 9, 14, 10] WHEN 3 THEN [0, 2, 5, 13, 6, 11] ELSE [1, 4, 8, 3, 7, 12] END, CAST(m % 6 AS INTEGER) + 1) END END""")
+
+
+@query(f"WITH {TILES} SELECT m, n, CAST(m // 3 AS BIGINT) AS row, CAST(m % 3 AS BIGINT) AS col FROM t")
+def tile_grid_position(s, d):
+    """A rank's row and column in a grid of three columns; the rank is the tile's row here."""
+    row, col = Grid(14, 3).position(F.col("m"))
+    return tiles(s).select("m", "n", row.alias("row"), col.cast("long").alias("col"))
+
+
+@query(f"""WITH {TILES}, v AS (SELECT m, n, m - m % 8 + m % 4 * 2 + m // 4 % 2 AS vm, n - n % 6 + n % 2 * 3 + n // 2 % 3 AS vn FROM t),
+w AS (SELECT m, n, CASE WHEN vm < 40 THEN vm ELSE vm - vm % 8 + vm % 4 * 2 + vm // 4 % 2 END AS vm, CASE WHEN vn < 40 THEN vn ELSE vn - vn % 6 + vn % 2 * 3 + vn // 2 % 3 END AS vn FROM v)
+SELECT m, n, m % 2 * 3 + n % 3 AS plain, m // 4 % 2 * 3 + n // 2 % 3 AS cyclic, vm % 2 * 3 + vn % 3 AS viewed FROM w""")
+def tile_k_cyclic_views(s, d):
+    """Owners in a plain distribution, in a k-cyclic copy, and in a k-cyclic view of the plain one."""
+    m, n, g = F.col("m"), F.col("n"), Grid(2, 3)
+    seen = P.block_cyclic(P.k_view(m, 2, 4, 40), P.k_view(n, 3, 2, 40), g)
+    return tiles(s).select("m", "n", P.block_cyclic(m, n, g).alias("plain"), P.k_cyclic(m, n, g, 4, 2).alias("cyclic"), seen.alias("viewed"))
+
+
+@query(f"WITH {TILES} SELECT m, n, CASE WHEN m > n THEN 'lower' WHEN m < n THEN 'upper' ELSE 'diagonal' END AS kind, CASE WHEN abs(m - n) < 3 THEN m - n + 2 END AS r, CASE WHEN abs(m - n) < 3 THEN m * 100 + n ELSE 0 END AS v FROM t")
+def tile_band_fill(s, d):
+    """Tiles of a band matrix by the part they are of, the row they have in the band's storage, and what they are filled with."""
+    m, n = F.col("m"), F.col("n")
+    inside = P.in_band(m, n, 3)
+    kind = F.when(m > n, "lower").when(m < n, "upper").otherwise("diagonal")
+    return tiles(s).select("m", "n", kind.alias("kind"), F.when(inside, m - n + 2).alias("r"), F.when(inside, m * 100 + n).otherwise(0).alias("v"))
+
+
+@query(f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM a WHERE i >= j")
+def tile_reshape_lower(s, d):
+    """The lower triangle alone, as doubles."""
+    return M.reshape(cells(s, d), M.LOWER, "double")
+
+
+@query(f"WITH {CELLS} SELECT i, j, CASE WHEN i // 16 > j // 16 OR (i // 16 = j // 16 AND i >= j) THEN max(v) OVER (PARTITION BY i // 16, j // 16) - v ELSE v END AS v FROM a")
+def udf_tile_apply(s, d):
+    """A Python operator on the lower triangle's tiles: how far each cell is below its tile's largest."""
+    return U.from_tiles(U.map_tiles(U.to_tiles(cells(s, d), 16, 16), lambda m, n, a, b, v: v.max() - v, M.LOWER), 16, 16)
+
+
+@query(f"WITH {CELLS} SELECT i % 16 AS a, j % 16 AS b, max(v) AS v FROM a GROUP BY ALL")
+def udf_tile_reduce(s, d):
+    """A Python function as the reduction of all tiles."""
+    return U.reduce_opaque(cells(s, d), 16, 16, lambda x, y: x if x > y else y)
+
+
+@query("SELECT i, j, CASE WHEN j % 3 = 0 THEN 'device' WHEN i % 2 = 0 THEN 'cpu' END AS ran, CASE WHEN j % 3 = 0 THEN (i + 1) * (j + 1) * 30 WHEN i % 2 = 0 THEN i + j + 10 END AS result FROM generate_series(0, 19) x(i), generate_series(0, 9) y(j)")
+def udf_task_bodies(s, d):
+    """Bodies of tasks in Python: the first that takes a task runs it; parameters arrive as they were given."""
+    from weftspark.operators import graph as G
+
+    bodies = {"device": (lambda t: t["j"] % 3 == 0, lambda t: (t["i"] + 1) * (t["j"] + 1) * t["given"]["c"]), "cpu": (lambda t: t["i"] % 2 == 0, lambda t: t["i"] + t["j"] + t["data1"])}
+    return U.run_bodies(G.task_space(s, i=(0, 19), j=(0, 9)), bodies, "long", data1=10, given={"a": 1, "b": 20, "c": 30})
+
+
+@query("SELECT p_partkey AS id, p_size * p_size % 7 + length(p_brand) AS value FROM part")
+def function_inline(s, d):
+    """An expression in Python over whole columns."""
+    from weftspark.functions.scalars import inline
+
+    own = inline(_own_expression, "long")
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), own(F.col("p_size").cast("long"), F.length("p_brand").cast("long")).alias("value"))
+
+
+def _own_expression(size: pd.Series, length: pd.Series) -> pd.Series:
+    return size * size % 7 + length
+
+
+@query("SELECT t AS tiles, l AS level, i, CASE WHEN i < (t + (1 << l) - 1) // (1 << l) - 1 THEN 5 * (1 << l) WHEN i = (t + (1 << l) - 1) // (1 << l) - 1 THEN t * 5 - 5 * (1 << l) * i END AS size FROM generate_series(1, 40) x(t), generate_series(0, 6) y(l), generate_series(0, 39) z(i) WHERE i < (t + (1 << l) - 1) // (1 << l)")
+def function_merge_tree(s, d):
+    """Sizes of the nodes of merge trees of 1 to 40 tiles of five values."""
+    from weftspark.functions.scalars import merged_size, width_at_level
+
+    t = s.range(1, 41).select(F.col("id").alias("tiles"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("level"))
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), width_at_level(F.col("level"), F.col("tiles")) - 1)))
+    return t.withColumn("size", merged_size(F.col("level"), F.col("i"), 5, F.col("tiles")))

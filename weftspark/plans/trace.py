@@ -12,7 +12,9 @@ from weftspark.operators import trace as T
 
 MINUTE = 60_000_000
 EV = "ev AS (SELECT event_id AS id, user_id AS stream, user_id % 4 AS node, event_type AS type, epoch_us(ts) AS time, CAST(round(value * 100) AS BIGINT) AS size, event_id % 50 AS ptr FROM events)"
-IV = EV + """, pr AS (SELECT *, min(CASE WHEN type = 'purchase' THEN time END) OVER (PARTITION BY stream ORDER BY time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM ev),
+NB = "nb AS (SELECT *, lead(type) OVER w AS nt, lead(time) OVER w AS ntime, lag(type) OVER w AS pt FROM ev WINDOW w AS (PARTITION BY stream ORDER BY time, id))"
+STOP = "CASE WHEN type = 'view' AND nt = 'purchase' THEN ntime ELSE min(CASE WHEN type = 'purchase' AND coalesce(pt, '') <> 'view' THEN time END) OVER (PARTITION BY stream ORDER BY time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS stop"
+IV = EV + f""", {NB}, pr AS (SELECT *, {STOP} FROM nb),
 iv AS (SELECT id, stream, node, size, ptr, time AS "begin", stop AS "end" FROM pr WHERE type = 'view' AND stop IS NOT NULL)"""
 
 
@@ -52,7 +54,10 @@ def trace_type_counts(s, d):
     return T.count_by_node(events(s, d), "type", "node", [0, 1, 2, 3])
 
 
-@query(f"WITH {EV} SELECT type, count(size) AS n, sum(size)::DOUBLE / count(size) AS mean, min(size) AS least, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3, max(size) AS largest FROM ev GROUP BY type")
+DESCRIBE = "count(size) AS n, sum(size)::DOUBLE / count(size) AS mean, round(sqrt((CAST(sum(size * size) AS DOUBLE) - sum(size)::DOUBLE * sum(size) / count(size)) / nullif(count(size) - 1, 0)), 3) AS std, min(size) AS least, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3, max(size) AS largest"
+
+
+@query(f"WITH {EV} SELECT type, {DESCRIBE} FROM ev GROUP BY type")
 def trace_describe(s, d):
     return T.describe(events(s, d), "type", "size")
 
@@ -64,9 +69,11 @@ def trace_welford(s, d):
     return T.spread(events(s, d), "type", "size")
 
 
-@query(f'WITH {IV}, x AS (SELECT node, stream, min("begin") AS "begin", max("end") AS "end" FROM iv GROUP BY node, stream) SELECT *, "end" - "begin" AS duration FROM x')
+@query(f"""WITH {IV}, x AS (SELECT node, stream, min(time) AS "begin" FROM ev WHERE type <> 'error' GROUP BY node, stream), y AS (SELECT node, stream, max("end") AS "end" FROM iv GROUP BY node, stream)
+SELECT x.node, x.stream, x."begin", coalesce(y."end", 0) AS "end", coalesce(y."end", 0) - x."begin" AS duration FROM x LEFT JOIN y ON x.node = y.node AND x.stream = y.stream""")
 def trace_stream_extents(s, d):
-    return T.extents(intervals(s, d), ["node", "stream"])
+    accepted = T.validate(events(s, d), F.col("type") != "error", ["node", "stream"], "time").filter("error IS NULL")
+    return T.extents(accepted, intervals(s, d), ["node", "stream"])
 
 
 _INFO = "info AS (SELECT DISTINCT node, 'k' || CAST(ptr AS VARCHAR) AS key, CASE WHEN ptr % 3 = 0 THEN ptr WHEN ptr % 3 = 1 AND node < 2 THEN 0 ELSE node * (ptr % 5) END AS value FROM ev)"
@@ -77,7 +84,7 @@ def _info(s, d):
     return events(s, d).select("node", F.concat(F.lit("k"), F.col("ptr").cast("string")).alias("key"), value.cast("long").alias("value")).distinct()
 
 
-@query(f"WITH {EV}, {_INFO}, g AS (SELECT key, min(nullif(value, 0)) AS a, max(nullif(value, 0)) AS b, count(nullif(value, 0)) AS n FROM info GROUP BY key) SELECT key, CAST(coalesce(a, 0) AS BIGINT) AS value FROM g WHERE n = 0 OR a = b")
+@query(f"WITH {EV}, {_INFO} SELECT i.key, i.value::BIGINT AS value FROM info i WHERE i.node = 0 AND NOT EXISTS (SELECT 1 FROM info o WHERE o.key = i.key AND o.node <> 0 AND o.value <> 0 AND o.value <> i.value)")
 def trace_common_info(s, d):
     return T.common_information(_info(s, d))
 
@@ -95,7 +102,7 @@ def trace_out_of_order(s, d):
     return T.validate(e, F.col("type") != "error", ["stream"], "arrival").filter("error IS NOT NULL").select("id", "stream", "error")
 
 
-@query(f"""WITH {EV}, p AS (SELECT *, min(CASE WHEN type = 'purchase' THEN time END) OVER (PARTITION BY stream ORDER BY time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM ev)
+@query(f"""WITH {EV}, {NB}, p AS (SELECT *, {STOP} FROM nb)
 SELECT id, CASE WHEN stop IS NULL THEN 'no matching end' WHEN stop < time OR stop - time > 36000000000 THEN 'unreasonable duration' END AS error FROM p WHERE type = 'view'""")
 def trace_interval_errors(s, d):
     p = T.pair_intervals(events(s, d), ["stream"], F.col("type") == "view", F.col("type") == "purchase")
@@ -109,12 +116,12 @@ def trace_next_match(s, d):
     return m.filter("type = 'view' AND next_type IS NOT NULL").select("id", "stream", "ptr", "next_time", (F.col("next_type") == "purchase").alias("freed"))
 
 
-@query(f"""WITH {EV}, c AS (SELECT id, node, time, CASE WHEN type = 'view' THEN size ELSE -size END AS change FROM ev WHERE type IN ('view', 'purchase') AND size > 0)
-SELECT id, node, change, CAST(sum(change) OVER (PARTITION BY node ORDER BY time, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM c""")
+@query(f"""WITH {EV}, e AS (SELECT *, lag(type) OVER w AS pt, lag(size) OVER w AS ps FROM ev WHERE type = 'purchase' OR (type = 'view' AND size > 0) WINDOW w AS (PARTITION BY node, ptr ORDER BY time, id)),
+c AS (SELECT id, node, time, CASE WHEN type = 'view' THEN size WHEN pt = 'view' THEN -ps END AS change FROM e)
+SELECT id, node, change, CAST(sum(change) OVER (PARTITION BY node ORDER BY time, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM c WHERE change IS NOT NULL""")
 def trace_mem_timeline(s, d):
-    e = events(s, d).filter(F.col("type").isin("view", "purchase") & (F.col("size") > 0))
-    c = e.select("id", "node", "time", F.when(F.col("type") == "view", F.col("size")).otherwise(-F.col("size")).alias("change"))
-    return T.running_total(c, ["node"], "change").select("id", "node", "change", "total")
+    e = events(s, d).filter(F.col("type").isin("view", "purchase"))
+    return T.memory_timeline(e, ["node"], "ptr", F.col("type") == "view", "size").select("id", "node", "change", "total")
 
 
 @query(f"""WITH {IV}, c AS (SELECT id, node, "begin" AS time, 0 AS side, size AS change FROM iv UNION ALL SELECT id, node, "end", 1, -size FROM iv)
@@ -233,12 +240,18 @@ def trace_steals(s, d):
     return events(s, d).groupBy("stream").agg(F.count(F.when((F.col("stream") + F.col("ptr")) % 7 == 0, 1)).alias("steals"), F.count(F.lit(1)).alias("tasks"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT id, node, time, CASE type WHEN 'signup' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS pending, CASE WHEN type = 'click' THEN 1 ELSE 0 END AS retired FROM ev)
-SELECT id, node, CAST(sum(pending) OVER w AS BIGINT) AS pending, CAST(sum(retired) OVER w AS BIGINT) AS retired FROM g WINDOW w AS (PARTITION BY node ORDER BY time, id ROWS UNBOUNDED PRECEDING)""")
+@query(f"""WITH {EV}, g AS (SELECT id, node, time, CASE type WHEN 'signup' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS pending, CASE WHEN type = 'click' THEN 1 ELSE 0 END AS retired, CASE WHEN type = 'signup' THEN 1 ELSE 0 END AS enabled,
+CASE type WHEN 'view' THEN size ELSE 0 END AS allocated, CASE type WHEN 'view' THEN size WHEN 'purchase' THEN -size ELSE 0 END AS used FROM ev)
+SELECT id, node, CAST(sum(pending) OVER w AS BIGINT) AS pending, CAST(sum(retired) OVER w AS BIGINT) AS retired, CAST(sum(enabled) OVER w AS BIGINT) AS enabled, CAST(sum(allocated) OVER w AS BIGINT) AS allocated, CAST(sum(used) OVER w AS BIGINT) AS used FROM g WINDOW w AS (PARTITION BY node ORDER BY time, id ROWS UNBOUNDED PRECEDING)""")
 def trace_gauges(s, d):
-    e = events(s, d).withColumn("p", F.when(F.col("type") == "signup", 1).when(F.col("type") == "click", -1).otherwise(0)).withColumn("r", (F.col("type") == "click").cast("int"))
-    both = T.running_total(T.running_total(e, ["node"], "p").withColumnRenamed("total", "pending"), ["node"], "r").withColumnRenamed("total", "retired")
-    return both.select("id", "node", "pending", "retired")
+    """Tasks pending, retired and enabled; memory allocated in all, and in use."""
+    kind, size = F.col("type"), F.col("size")
+    changes = {
+        "pending": F.when(kind == "signup", 1).when(kind == "click", -1).otherwise(0), "retired": (kind == "click").cast("int"), "enabled": (kind == "signup").cast("int"),
+        "allocated": F.when(kind == "view", size).otherwise(0), "used": F.when(kind == "view", size).when(kind == "purchase", -size).otherwise(0),
+    }
+    e = events(s, d).select("id", "node", "time", *(c.cast("long").alias(f"d_{n}") for n, c in changes.items()))
+    return T.running_totals(e, ["node"], {n: f"d_{n}" for n in changes}, ["time", "id"], T.HOUR).select("id", "node", *changes)
 
 
 @query(f"WITH {IV} SELECT node, CAST(sum(size) AS BIGINT) AS work, round(sum(size)::DOUBLE * 1000000 / (max(\"end\") - min(\"begin\")), 6) AS rate FROM iv GROUP BY node")
@@ -305,3 +318,59 @@ def function_bits(s, d):
 
     c = F.format_string("%06x", (F.col("size") * 2654435) % 16777216)
     return events(s, d).select("id", F.col("size").bitwiseAND(255).alias("flags"), has_flag(F.col("size"), 2).alias("counter"), F.bit_count("size").alias("bits"), red_green_blue(c)["red"].alias("red"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT *, ptr % 3 AS eid, id % 2 AS pool, type = 'view' AS s, type = 'purchase' AS e FROM ev),
+n AS (SELECT *, coalesce(s AND lead(e) OVER w AND lead(eid) OVER w = eid AND lead(pool) OVER w = pool, false) AS direct, lead(time) OVER w AS nt, coalesce(lag(s) OVER w AND lag(eid) OVER w = eid AND lag(pool) OVER w = pool, false) AS taken FROM r WINDOW w AS (PARTITION BY stream ORDER BY time, id)),
+c AS (SELECT * FROM n WHERE e AND NOT taken),
+own AS (SELECT n.id, min(c.time) AS t FROM n JOIN c ON c.stream = n.stream AND c.eid = n.eid AND c.pool = n.pool AND (c.time > n.time OR (c.time = n.time AND c.id > n.id)) WHERE n.s GROUP BY n.id),
+x AS (SELECT n.id, c.stream, min(c.time) AS t FROM n JOIN c ON c.node = n.node AND c.stream <> n.stream AND c.eid = n.eid AND c.pool = n.pool AND c.time >= n.time WHERE n.s GROUP BY n.id, c.stream),
+o AS (SELECT id, min_by(t, stream) AS t FROM x GROUP BY id)
+SELECT n.id, n.stream, n.time AS "begin", CASE WHEN direct THEN nt ELSE coalesce(own.t, o.t) END AS "end" FROM n LEFT JOIN own ON own.id = n.id LEFT JOIN o ON o.id = n.id WHERE n.s""")
+def trace_match_events(s, d):
+    """Starts and ends by type, event and taskpool: the next record, the thread, the node's other threads."""
+    e = events(s, d).withColumns({"eid": F.col("ptr") % 3, "pool": F.col("id") % 2})
+    return T.pair_intervals(e, ["node", "stream"], F.col("type") == "view", F.col("type") == "purchase", ("eid", "pool"), ["node"]).select("id", "stream", "begin", "end")
+
+
+@query(f"""WITH {EV}, {NB}, p AS (SELECT *, {STOP} FROM nb)
+SELECT id, stream, time AS "begin", stop AS "end", CASE WHEN stop IS NULL THEN 'no matching end' WHEN stop - time > 36000000000 THEN 'unreasonable duration' END AS error FROM p WHERE type = 'view'""")
+def trace_with_errors(s, d):
+    p = T.interval_errors(T.pair_intervals(events(s, d), ["stream"], F.col("type") == "view", F.col("type") == "purchase"), 600 * MINUTE).select("id", "stream", "begin", "end", "error")
+    return T.with_errors(p.filter("error IS NULL").drop("error"), p.filter("error IS NOT NULL"))
+
+
+@query(f"WITH {EV} SELECT type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(*) = 100 AND sum(size) = 12000 AS fine FROM ev WHERE type IN ('view', 'click') GROUP BY type")
+def trace_check_messages(s, d):
+    return T.check_messages(events(s, d), {"view": (100, 12000), "click": (100, 12000)}, size="size")
+
+
+@query(f"WITH {EV} SELECT node, ptr % 7 AS cwd, count(*) AS n, array_to_string(list_sort(list(DISTINCT 'rank' || stream)), ' ') AS files FROM ev GROUP BY ALL")
+def trace_group_runs(s, d):
+    e = events(s, d).select("node", (F.col("ptr") % 7).alias("cwd"), F.concat(F.lit("rank"), F.col("stream").cast("string")).alias("file"))
+    return T.group_runs(e, ("node", "cwd"), "file").withColumn("files", F.array_join("files", " "))
+
+
+@query(f"WITH {EV} SELECT node, type, size, id FROM ev ORDER BY node DESC, size DESC, id DESC")
+def sort_multi_key_desc(s, d):
+    return events(s, d).select("node", "type", "size", "id").orderBy(F.desc("node"), F.desc("size"), F.desc("id"))
+
+
+@query(f"""WITH {EV}, o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS pool, o_custkey % 4 AS node FROM orders)
+SELECT e.id AS event, o.id AS task, o.node AS ran_on, e.node AS seen_on FROM ev e JOIN o ON e.id = o.id AND e.id % 3 = o.pool WHERE e.type = 'signup'""")
+def trace_event_tasks(s, d):
+    """The task that a network event speaks of, by taskpool and id."""
+    tasks = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("task"), (F.col("o_orderkey") % 3).alias("pool"), (F.col("o_custkey") % 4).alias("ran_on"))
+    seen = events(s, d).filter("type = 'signup'").select(F.col("id").alias("event"), F.col("id").alias("task"), (F.col("id") % 3).alias("pool"), F.col("node").alias("seen_on"))
+    return seen.join(tasks, ["pool", "task"]).select("event", "task", "ran_on", "seen_on")
+
+
+@query(f"""WITH {EV}, o AS (SELECT o_orderkey AS id, o_custkey % 4 AS node FROM orders), l AS (SELECT DISTINCT l_orderkey AS src, l_orderkey + l_linenumber AS dst FROM lineitem)
+SELECT e.id AS event, o.id AS task, l.dst AS successor FROM ev e JOIN o ON e.id = o.id JOIN l ON l.src = o.id JOIN o n ON n.id = l.dst WHERE e.type = 'signup' AND n.node = e.node""")
+def trace_event_successors(s, d):
+    """Of a network event's task, the successors that ran where the event was seen."""
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("task"), (F.col("o_custkey") % 4).alias("node"))
+    edges = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("task"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("successor")).distinct()
+    seen = events(s, d).filter("type = 'signup'").select(F.col("id").alias("event"), F.col("id").alias("task"), F.col("node"))
+    after = seen.join(o.select("task"), "task").join(edges, "task")
+    return after.join(o.withColumnRenamed("task", "successor"), ["successor", "node"]).select("event", "task", "successor")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +24,17 @@ def slopes(stream: DataFrame, least: float = 1e-4) -> DataFrame:
     """dy/dx of each point and the one before it of its (key, process, unit), across batches."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x0, y0 = state.get if state.exists else (None, None)
-        out = []
-        for r in pd.concat(frames).sort_values(["x", "id"]).itertuples():
-            if x0 is not None and abs(r.x - x0) > least:
-                out.append((*key, r.id, r.x, (r.y - y0) / (r.x - x0)))
-            x0, y0 = float(r.x), float(r.y)
-        if x0 is not None:
-            state.update((x0, y0))
-        yield pd.DataFrame(out, columns=["key", "process", "unit", "id", "x", "slope"])
+        rows = pd.concat(frames).sort_values(["x", "id"])
+        before = state.get if state.exists else (np.nan, np.nan)
+        x, y = (np.concatenate([[b], rows[c].to_numpy(float)]) for c, b in zip(("x", "y"), before, strict=True))
+        dx = np.diff(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            moved = np.abs(dx) > least
+            slope = np.diff(y) / dx
+        if len(rows):
+            state.update((float(x[-1]), float(y[-1])))
+        own = rows[moved]
+        yield pd.DataFrame({"key": key[0], "process": key[1], "unit": key[2], "id": own["id"], "x": own["x"].astype(float), "slope": slope[moved]})
 
     return stream.groupBy("key", "process", "unit").applyInPandasWithState(step, "key string, process long, unit long, id long, x double, slope double", "x double, y double", "append", GroupStateTimeout.NoTimeout)
 
@@ -50,12 +53,14 @@ def buffers(stream: DataFrame, slots: int = SLOTS) -> DataFrame:
     """How many points of each (key, process, unit) are visible, and the oldest of them."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for r in pd.concat(frames).sort_values(["x", "id"]).itertuples():
+        held = np.array(state.get[0] if state.exists else [], float)
+        new = pd.concat(frames).sort_values(["x", "id"])["x"].to_numpy(float)
+        while len(new):
             if len(held) >= slots:
                 held = held[-(slots // 2) :]
-            held.append(float(r.x))
-        state.update((held,))
+            room = slots - len(held)
+            held, new = np.concatenate([held, new[:room]]), new[room:]
+        state.update((held.tolist(),))
         yield pd.DataFrame([(*key, len(held), held[0])], columns=["key", "process", "unit", "visible", "oldest"])
 
     return stream.groupBy("key", "process", "unit").applyInPandasWithState(step, "key string, process long, unit long, visible long, oldest double", "held array<double>", "update", GroupStateTimeout.NoTimeout)

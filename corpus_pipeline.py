@@ -1,7 +1,10 @@
 """From raw documents to packed sequences, a stage at a time.
 
 Each stage takes what the one before kept and returns rows with the columns of documents;
-the last returns the pieces of packed sequences.
+the last returns the pieces of packed sequences. Texts are taken whole, however long. Null and
+empty texts have no language and go in the first stage; an empty table stays empty; rows that
+repeat an id are kept or dropped together until the third stage, which takes the words of the
+second away as repeats; extra columns come through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +20,11 @@ from weftspark.llm.queries import language_model, packed
 from weftspark.llm.substrings import remove_repeats
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """The columns under numbers for names, so that none is taken for an operator's own."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter: those with none, or no text, have no language and go.
 
@@ -25,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_model(docs)
     if model is None:
         return lettered(docs)
-    told = identify(docs, model)
-    return told.filter("lang_pred <> 'und'").select(*docs.columns)
+    told = identify(apart(docs), model, text_column=f"_{docs.columns.index('text')}").filter("lang_pred <> 'und'")
+    return told.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +44,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier; those that are nothing else go."""
-    left = remove_repeats(docs).filter("n_removed < n_words")
-    changed = F.col("n_removed") > 0
+    """Documents without the passages that stand earlier; those that are nothing else go, and so do wordless ones."""
+    at = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    left = remove_repeats(apart(docs), id_column=at["doc_id"], text_column=at["text"]).filter("n_removed < n_words")
     # A text that has nothing to lose stays as it is, white space included.
-    own = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
-    return left.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
+    n = F.when(F.col("n_removed") > 0, F.length(at["text"]).cast("long")).otherwise(F.col(at["n_chars"]))
+    return left.select(*((n if c == "n_chars" else F.col(own)).alias(c) for c, own in at.items()))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

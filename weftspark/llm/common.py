@@ -175,7 +175,7 @@ def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - begin[owner]
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts would hold more than ``most`` bytes together (single rows stay whole)."""
     for batch in source:
         if batch.num_rows == 0:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from weftspark.llm.common import batches, release
 
 #: Bytes of text tokenised at once, and remainders packed together.
-BATCH_BYTES, BLOCK = 8 << 20, 4096
+BATCH_BYTES, BLOCK = 4 << 20, 4096
 #: Fixed value: the pattern by which byte-level BPE splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text with all that the pattern tells apart.

@@ -86,7 +86,7 @@ def ask(
     reduce: Reduce,
     gather: Callable[[bytes, list[bytes]], pa.Table],
     schema: str,
-    most: int = 4 << 20,
+    most: int = 2 << 20,
     further: Sequence[tuple[Again, Reduce]] = (),
     keep: Callable[[pa.RecordBatch], bytes] | None = None,
 ) -> DataFrame:

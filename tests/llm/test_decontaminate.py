@@ -63,3 +63,28 @@ def test_table_finds_every_unchanged_item(spark):
     items = [(r.item_id, r.text) for r in bench.collect()]
     plainly = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text}
     assert plainly and plainly <= got and len(got) < 2 * len(plainly)
+
+
+def test_copies_equal_brute_force(spark):
+    """All items against all texts, aligned cell by cell."""
+    g = random.Random(11)
+    passage = lambda n: [g.choice(WORDS) + g.choice(WORDS) for _ in range(n)]
+    items = [passage(g.randrange(8, 16)) for _ in range(5)]
+    docs = []
+    for _ in range(60):
+        body = passage(g.randrange(0, 40))
+        for _ in range(g.randrange(0, 3)):
+            copy = list(g.choice(items))
+            for _ in range(g.randrange(0, 4)):
+                at = g.randrange(len(copy))
+                copy[at : at + g.randrange(0, 2)] = passage(g.randrange(0, 2))
+            at = g.randrange(len(body) + 1)
+            body[at:at] = copy[: g.choice((3, len(copy), len(copy)))]
+        docs.append(body)
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in find_copies(df, bench).collect()}
+    share = {(d, k): plain(w, body) / (2 * len(w)) for d, body in enumerate(docs) for k, w in enumerate(items)}
+    want = {x: s for x, s in share.items() if s >= 0.5}
+    assert len(want) > 20 and set(got) == set(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)

@@ -67,3 +67,21 @@ def test_without_a_language_to_learn_only_letterless_texts_go(spark):
         got = corpus_pipeline.language(spark, docs, "")
         assert got.columns == docs.columns
         assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, and columns named as the stages' own."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "en", "a", 9, 5, "x"), (1, long, "en", "a", 9, 5, "x"), (2, long, None, None, None, None, None), (3, None, "en", "a", 0, 5, "x"), (4, "", "de", "b", 0, 1, "y"), (None, "the other text", "en", "a", 3, 2, "z"), (5, "der Hund und die Katze", "de", "b", 5, 3, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id int, n_removed string"
+    docs = spark.createDataFrame(rows, schema)
+    sf = "/root/testdata/sf0.001"
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.cut(stage(spark, now, sf))
+            assert now.columns == docs.columns
+        left = sorted((r.doc_id or 0, r.component_id, r.n_removed) for r in now.collect())
+        assert left == ([] if empty else [(0, 2, "z"), (1, 5, "x"), (5, 3, "x")])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert {r.doc_id for r in pieces.collect()} == ({None, 1, 5} if not empty else set())

@@ -1,9 +1,10 @@
 """Test items found in training texts: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. A seed is the shortest run of 2 to 4 item
-words that the corpus, by its counts of single words, would hold by chance at fewer than
-one in ``RARE`` places. A text that holds seeds of an item is aligned with it around them;
-edited words cost a little and unchanged ones gain, so reworded copies are found too.
+words that the corpus, by its counts of single words and its size, would hold by chance less
+than once in ``RARE`` such corpora, so chance makes no more alignments in a larger one. A text
+that holds a seed of an item is aligned with it around the seed; edited words cost a little
+and unchanged ones gain, so reworded copies are found too.
 
 The items are a bounded index that every task gets; more items than the bound are taken in
 blocks, each of which reads the texts once.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.common import batches, gram_hashes, utf8, word_hashes, words
 
-#: A seed stands at one place in so many by chance; lengths of seeds; bytes of items in a block.
-RARE, LENGTHS, BLOCK_BYTES = 1e8, (2, 3, 4), 8 << 20
+#: Corpora in which a seed stands once by chance; lengths of seeds; bytes of items in a block.
+RARE, LENGTHS, BLOCK_BYTES = 1, (2, 3, 4), 8 << 20
 #: Alignment: gain of an equal word, cost of another or of a gap; share of the full gain that tells a copy.
 EQUAL, OTHER, GAP, SCORE = 2.0, -1.0, -1.0, 0.5
 #: Items of fewer words must stand in a text unchanged.
@@ -73,20 +74,19 @@ class Items:
     words: list[np.ndarray] = field(default_factory=list)
     #: By length: sorted fingerprints of seeds, and for each the items and places that have it.
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    need: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
-    def plant(self, chance: dict[int, float]) -> None:
-        """Choose the seeds, by each word's share of the corpus."""
+    def plant(self, chance: dict[int, float], total: int) -> None:
+        """Choose the seeds, by each word's share of the corpus and the words that it has."""
         least = min([v for v in chance.values() if v > 0], default=1e-9)
         found: dict[int, list[tuple[int, int, int]]] = {n: [] for n in (1, *LENGTHS)}
-        need = []
+        enough = -np.log(RARE * max(total, 1))
         for k, w in enumerate(self.words):
             logs = np.log([max(chance.get(int(x), 0.0), least / 2) for x in w]) if len(w) else np.zeros(0)
             grams = {n: gram_hashes(w, n) for n in found}
             placed = []
             for i in range(len(w)):
                 for n in LENGTHS:
-                    if i + n <= len(w) and logs[i : i + n].sum() <= -np.log(RARE):
+                    if i + n <= len(w) and logs[i : i + n].sum() <= enough:
                         placed.append((n, i))
                         break
             if len(placed) < 2:  # no rare words: all that it has, at its longest
@@ -94,8 +94,6 @@ class Items:
                 placed = [(n, i) for i in range(len(w) - n + 1)] if n else []
             for n, i in placed:
                 found[n].append((int(grams[n][i]), k, i))
-            need.append(1 if len(placed) < 8 else 2)
-        self.need = np.array(need, int)
         for n, rows in found.items():
             if rows:
                 rows.sort()
@@ -105,8 +103,8 @@ class Items:
                 self.seeds[n] = key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), sieve
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(text, item, places in the text's words that the item would start at) for texts with enough seeds."""
-        text, item, start, place = [], [], [], []
+        """(text, item, places in the text's words that the item would start at) for texts with seeds."""
+        text, item, start = [], [], []
         for n, (key, owner, where, sieve) in self.seeds.items():
             g = gram_hashes(h, n)
             i = np.flatnonzero(sieve[g >> np.uint64(64 - SIEVE)])
@@ -119,16 +117,15 @@ class Items:
             k = low[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]
             text.append(t[which])
             item.append(owner[k])
-            place.append(where[k])
             start.append(i[which] - at[t[which]] - where[k])
         if not text:
             return
-        text, item, start, place = (np.concatenate(x) for x in (text, item, start, place))
+        text, item, start = (np.concatenate(x) for x in (text, item, start))
         order = np.lexsort((start, item, text))
-        text, item, start, place = text[order], item[order], start[order], place[order]
+        text, item, start = text[order], item[order], start[order]
         edges = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
         for a, b in zip(edges, [*edges[1:], len(text)], strict=True):
-            if b > a and len(set(place[a:b].tolist())) >= self.need[item[a]]:
+            if b > a:
                 yield int(text[a]), int(item[a]), start[a:b]
 
     def best(self, item: int, text: np.ndarray, starts: np.ndarray) -> tuple[float, int, int]:
@@ -169,18 +166,18 @@ def index(docs: DataFrame, items: DataFrame, *, item_column: str = "item_id", te
                 out.ids.append(r.id)
                 out.words.append(h[at[i] : at[i + 1]].copy())
         if out.ids:
-            out.plant(shares(docs, np.unique(np.concatenate(out.words)), text_column))
+            out.plant(*shares(docs, np.unique(np.concatenate(out.words)), text_column))
             yield out
 
 
-def shares(docs: DataFrame, vocabulary: np.ndarray, text_column: str = "text") -> dict[int, float]:
-    """Of all words of the corpus, the share that each of these is."""
+def shares(docs: DataFrame, vocabulary: np.ndarray, text_column: str = "text") -> tuple[dict[int, float], int]:
+    """Of all words of the corpus, the share that each of these is; and how many words it has."""
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[vocabulary >> np.uint64(64 - SIEVE)] = True
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = 0, np.zeros(len(vocabulary) + 1, np.int64)
-        for b in batches(source, "text", 8 << 20):
+        for b in batches(source, "text", 4 << 20):
             h, _ = word_ids(b.column(0))
             total += len(h)
             h = h[sieve[h >> np.uint64(64 - SIEVE)]]
@@ -194,7 +191,7 @@ def shares(docs: DataFrame, vocabulary: np.ndarray, text_column: str = "text") -
     rows = docs.select(F.col(text_column).alias("text")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {r.word: r.n for r in rows}
     total = max(1, n.pop(len(vocabulary), 0))
-    return {int(vocabulary[k]): v / total for k, v in n.items()}
+    return {int(vocabulary[k]): v / total for k, v in n.items()}, total
 
 
 def find_copies(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text", least: float = SCORE) -> DataFrame:
@@ -202,7 +199,9 @@ def find_copies(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id",
 
     The score is the alignment's gain over that of an unchanged copy. Null and empty texts
     hold nothing and null or wordless items are held nowhere; repeated texts and items are
-    answered each. Counting the corpus' words runs at once, the search is lazy.
+    answered each; a very long text is read whole; a table without texts or items gives no rows.
+    Counting the corpus' words runs at once, the search is lazy. Items are held by the driver and
+    every task, a block of BLOCK_BYTES at a time in a task: they are a benchmark, not a corpus.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     item_kind = items.schema[item_column].dataType.simpleString()
@@ -212,7 +211,7 @@ def find_copies(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id",
     for block in index(docs, items, item_column=item_column, text_column=text_column):
 
         def run(source: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for b in batches(source, "text", 8 << 20):
+            for b in batches(source, "text", 4 << 20):
                 found = block.copies(b.column(1), least)
                 if found:
                     t, k, score, first, end = zip(*found, strict=True)
@@ -229,7 +228,7 @@ def without_copies(docs: DataFrame, items: DataFrame, *, item_column: str = "ite
     for block in index(docs, items, item_column=item_column, text_column=text_column):
 
         def run(source: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for b in batches(source, text_column, 8 << 20):
+            for b in batches(source, text_column, 4 << 20):
                 keep = np.ones(b.num_rows, bool)
                 keep[[t for t, *_ in block.copies(b.column(at), least)]] = False
                 yield b.filter(pa.array(keep))

@@ -40,8 +40,10 @@ def infer_dependencies(accesses: DataFrame, tile: str = "tile", seq: str = "seq"
     before (WAW) and the reads since then (WAR).
     """
     order = Window.partitionBy(tile).orderBy(seq)
+    # Backwards, so that the frame only grows.
+    back = Window.partitionBy(tile).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, -1)
     writes, reads = F.col(op).contains("W"), F.col(op).contains("R")
-    a = accesses.filter(op + " IN ('R', 'W', 'RW')").select(tile, seq, op, F.max(F.when(writes, F.col(seq))).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.min(F.when(writes, F.col(seq))).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    a = accesses.filter(op + " IN ('R', 'W', 'RW')").select(tile, seq, op, F.max(F.when(writes, F.col(seq))).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.last(F.when(writes, F.col(seq)), ignorenulls=True).over(back).alias("next"))
     edge = lambda df, src, dst, kind: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), tile, F.lit(kind).alias("kind"))
     raw = edge(a.filter(reads & F.col("last").isNotNull()), "last", seq, "RAW")
     waw = edge(a.filter(writes & F.col("last").isNotNull()), "last", seq, "WAW")

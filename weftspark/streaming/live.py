@@ -21,7 +21,7 @@ def points(spark: SparkSession, path: str, schema: str, files: int | None = None
 
 
 def slopes(stream: DataFrame, least: float = 1e-4) -> DataFrame:
-    """dy/dx of each point and the one before it of its (key, process, unit), across batches."""
+    """dy/dx of each point and the one before it of its (key, process, unit), across batches, which have to come in the order of x."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(frames).sort_values(["x", "id"])

@@ -41,6 +41,44 @@ def test_buckets_do_not_change_results(spark):
         assert got == want
 
 
+def _paired_plainly(rows):
+    """Starts and their ends by the rule, a record at a time: (id, begin, end)."""
+    fits = lambda a, b: a[3] == "s" and b[3] == "e" and a[4] == b[4] and b[2] >= a[2]
+    out = []
+    for node in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == node), key=lambda r: (r[2], r[0]))
+        for i, r in enumerate(own):
+            if r[3] == "s":
+                free = (own[j] for j in range(i + 1, len(own)) if fits(r, own[j]) and not fits(own[j - 1], own[j]))
+                found = own[i + 1] if i + 1 < len(own) and fits(r, own[i + 1]) else next(free, None)
+                out.append((r[0], r[2], found and found[2]))
+    return sorted(out)
+
+
+def test_buckets_look_past_their_edges(spark):
+    """Neighbours, ends, errors and freed memory are the same in buckets of any width; a null key is a key."""
+    pick = [(i * 7919 + 31) % 1009 for i in range(240)]
+    rows = [(i, (None, 0, 0, 1)[p % 4], (i * 53) % 211, "ssexm"[p % 5], p % 3, p % 50) for i, p in enumerate(pick)]
+    df = spark.createDataFrame(rows, "id long, node long, time long, type string, same long, size long")
+    is_start, is_end = F.col("type") == "s", F.col("type") == "e"
+    want = None
+    for width in (1, 9, 10**6):
+        pairs = trace.pair_intervals(df, ["node"], is_start, is_end, ("same",), width=width).select("id", "begin", "end")
+        checked = trace.validate(df, F.col("type") != "x", ["node"], "id", width=width).select("id", "error")
+        nexts = trace.next_match(df, ["node", "same"], ["type", "time"], width=width).select("id", "next_type", "next_time")
+        memory = trace.memory_timeline(df.filter("node IS NOT NULL"), ["node"], "same", is_start, "size", width=width).select("id", "change", "total")
+        got = [sorted(map(tuple, x.collect()), key=str) for x in (pairs, checked, nexts, memory)]
+        want = want or got
+        assert got == want
+    assert sorted(want[0]) == _paired_plainly(rows)
+    past, errors = {}, {}
+    for i, node, time, kind, *_ in rows:
+        errors[i] = "unknown type" if kind == "x" else "before its predecessor" if time < past.get(node, -1) else None
+        if kind != "x":
+            past[node] = max(past.get(node, -1), time)
+    assert dict(want[1]) == errors
+
+
 def test_products_of_blocks(spark):
     a = spark.createDataFrame([(i, k, i * 7 - k) for i in range(5) for k in range(6) if (i + k) % 3], "i long, j long, v long")
     b = spark.createDataFrame([(k, j, k - 2 * j) for k in range(6) for j in range(4) if k != 2], "i long, j long, v long")

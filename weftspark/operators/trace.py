@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Width of a time bucket, in microseconds.
+#: Widths of time buckets, in microseconds.
 HOUR = 3_600_000_000
+DAY = 24 * HOUR
+#: Records of a thread in a bucket, where a thread's order is that of places and not of times.
+PLACES = 1 << 20
 
 
 def _before(keys: list[str], *order: str):
@@ -25,7 +28,27 @@ def _upto(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None) -> DataFrame:
+def _in_buckets(rows: DataFrame, order: str, width: int, extra: DataFrame | None = None) -> DataFrame:
+    """Rows with their bucket ``_b`` of ``order``; with the ``extra`` rows, which have one, marked ``_g``."""
+    cut = rows.withColumns({"_b": F.floor(F.col(order) / F.lit(width)), "_g": F.lit(False)})
+    return cut if extra is None else cut.unionByName(extra.withColumn("_g", F.lit(True)), allowMissingColumns=True)
+
+
+def _with_edges(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int) -> DataFrame:
+    """Rows in buckets, and with each bucket the record before it and the one after it.
+
+    A window over the keys and ``_b`` sees each row's neighbours so, and a task holds a
+    bucket's rows and not all of a key's. The edge rows have the order and ``columns`` alone.
+    """
+    told = F.struct(*dict.fromkeys([*order, *(c for c in columns if c not in keys)]))
+    ends = _in_buckets(rows, order[0], width).groupBy(*keys, "_b").agg(F.min(told).alias("_first"), F.max(told).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    beside = ends.select(*keys, "_b", F.lag("_last").over(w).alias("_p"), F.lead("_first").over(w).alias("_n"))
+    edges = beside.select(*keys, "_b", F.explode(F.array("_p", "_n")).alias("_x")).filter("_x IS NOT NULL").select(*keys, "_b", "_x.*")
+    return _in_buckets(rows, order[0], width, edges)
+
+
+def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None, width: int = DAY) -> DataFrame:
     """Starts with their end: ``begin``, and ``end`` or null.
 
     An end fits a start if it is not earlier and the ``same`` columns agree. A start takes
@@ -33,8 +56,11 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
     of its thread that isn't the next record of a start it fits itself; else, where ``others``
     names the columns of a file, such an end of the first other thread of the file that has one.
     An end may serve several starts. ``order`` is that of a thread's records (time, then id).
+    Threads are cut into buckets of ``width`` (PLACES, where an order is given), which look
+    past their edges.
     """
-    within = Window.partitionBy(*thread).orderBy(*(order or [time, id]))
+    by = order or [time, id]
+    within = Window.partitionBy(*thread, "_b").orderBy(*by)
     marked = records.withColumns({"_s": F.coalesce(start, F.lit(False)), "_e": F.coalesce(end, F.lit(False))})
 
     def alike(move) -> Column:
@@ -48,10 +74,16 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
 
     direct = F.when(F.col("_s") & after("_e") & alike(after) & (after(time) >= F.col(time)), after(time))
     taken = F.col("_e") & F.coalesce(before("_s") & alike(before) & (before(time) <= F.col(time)), F.lit(False))
-    seen = marked.withColumns({"_d": direct, "_c": F.when(F.col("_e") & ~taken, F.col(time))})
-    # Backwards, so that the frame only grows.
-    later = Window.partitionBy(*thread, *same).orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
-    found = seen.withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later))).filter("_s").withColumn("begin", F.col(time))
+    edged = _with_edges(marked, thread, by, [time, id, "_s", "_e", *same], PLACES if order else width)
+    seen = edged.withColumns({"_d": direct, "_c": F.when(F.col("_e") & ~taken, F.col(time))}).filter("NOT _g").drop("_b", "_g")
+    # A bucket ends with the first free end of those after it. Backwards, so that the frame only grows.
+    alone = [*thread, *(c for c in same if c not in thread)]
+    firsts = _in_buckets(seen.filter("_c IS NOT NULL OR _s"), time, width).groupBy(*alone, "_b").agg(F.min(F.when(F.col("_c").isNotNull(), F.struct(time, id))).alias("_f"))
+    after_it = F.last("_f", ignorenulls=True).over(Window.partitionBy(*alone).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = firsts.withColumn("_f", after_it).filter("_f IS NOT NULL").select(*alone, "_b", "_f.*", F.col(f"_f.{time}").alias("_c"))
+    later = Window.partitionBy(*alone, "_b").orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
+    ended = _in_buckets(seen, time, width, carried).withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later)))
+    found = ended.filter("_s AND NOT _g").drop("_b", "_g").withColumn("begin", F.col(time))
     if others is not None:
         stream = next(c for c in thread if c not in others)
         free = seen.filter("_c IS NOT NULL").select(*others, *same, F.col(stream).alias("_t"), F.col("_c").alias("_te"))
@@ -62,13 +94,19 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
     return found.drop("_s", "_e", "_d", "_c")
 
 
-def validate(records: DataFrame, known: Column, keys: list[str], order: str, time: str = "time") -> DataFrame:
+def validate(records: DataFrame, known: Column, keys: list[str], order: str, time: str = "time", width: int = DAY) -> DataFrame:
     """Records with ``error``: null, 'unknown type', or 'before its predecessor'.
 
-    The predecessor is the largest time so far of a known type on the stream.
+    The predecessor is the largest time so far of a known type on the stream; a bucket of
+    ``width`` of the order begins with that of the buckets before.
     """
-    past = F.max(F.when(known, F.col(time))).over(_before(keys, order))
-    return records.withColumn("error", F.when(~known, "unknown type").when(F.col(time) < past, "before its predecessor"))
+    marked = records.withColumn("_t", F.when(known, F.col(time)))
+    most = _in_buckets(marked, order, width).groupBy(*keys, "_b").agg(F.max("_t").alias("_t"), F.max(order).alias(order))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    starts = most.select(*keys, "_b", F.max("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_t"), F.lag(order).over(w).alias(order)).filter("_t IS NOT NULL")
+    past = F.max("_t").over(_before([*keys, "_b"], order))
+    told = _in_buckets(marked, order, width, starts).withColumn("error", F.when(~known, "unknown type").when(F.col(time) < past, "before its predecessor"))
+    return told.filter("NOT _g").drop("_b", "_g", "_t")
 
 
 def interval_errors(intervals: DataFrame, longest: int | None = None) -> DataFrame:
@@ -172,9 +210,10 @@ def memory_timeline(events: DataFrame, keys: list[str], pointer: str, allocates:
     another free, or nothing, has no row; allocations of size 0 are passed over.
     """
     kept = events.withColumn("_m", allocates).filter(~F.col("_m") | (F.col(size) > 0))
-    w = Window.partitionBy(*keys, pointer).orderBy(time, id)
+    w = Window.partitionBy(*keys, pointer, "_b").orderBy(time, id)
     freed = F.when(F.lag("_m").over(w), -F.lag(size).over(w))
-    changes = kept.withColumn("change", F.when(F.col("_m"), F.col(size)).otherwise(freed)).filter("change IS NOT NULL").drop("_m")
+    edged = _with_edges(kept, [*keys, pointer], [time, id], ["_m", size], 24 * width)
+    changes = edged.withColumn("change", F.when(F.col("_m"), F.col(size)).otherwise(freed)).filter("change IS NOT NULL AND NOT _g").drop("_m", "_b", "_g")
     return running_total(changes, keys, "change", time, id, width)
 
 
@@ -185,10 +224,11 @@ def counter_timeline(intervals: DataFrame, keys: list[str], size: str, width: in
     return running_totals(rows, keys, {"total": "change"}, ["time", "side", "id"], width)
 
 
-def next_match(records: DataFrame, keys: list[str], columns: list[str], time: str = "time", id: str = "id") -> DataFrame:
+def next_match(records: DataFrame, keys: list[str], columns: list[str], time: str = "time", id: str = "id", width: int = DAY) -> DataFrame:
     """Each record with ``next_<column>`` of the record after it with the same keys."""
-    w = Window.partitionBy(*keys).orderBy(time, id)
-    return records.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
+    w = Window.partitionBy(*keys, "_b").orderBy(time, id)
+    edged = _with_edges(records, keys, [time, id], columns, width)
+    return edged.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("NOT _g").drop("_b", "_g")
 
 
 def clip(intervals: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
@@ -292,7 +332,7 @@ def build_events(raw: DataFrame, known: Column, longest: Column | None = None) -
     it begins or lasts longer than ``longest``. Ends make no rows of their own.
     """
     thread = ["node_id", "stream_id"]
-    checked = validate(raw, known, thread, "position", "timestamp")
+    checked = validate(raw, known, thread, "position", "timestamp", PLACES)
     paired = pair_intervals(checked, thread, ~F.col("is_end"), F.col("is_end"), ("type", "event_id", "taskpool_id"), ["node_id"], "timestamp", "position", ["position"])
     took = F.col("end") - F.col("begin")
     bad = (took < 0) if longest is None else (took < 0) | (took > longest)

@@ -79,6 +79,23 @@ def test_buckets_look_past_their_edges(spark):
     assert dict(want[1]) == errors
 
 
+def test_dependencies_look_past_the_edges_of_buckets(spark):
+    rows = [((i * 7919) % 3, i, ("R", "R", "W", "RW", "-")[(i * i * 31 + i) % 5]) for i in range(150)]
+    df = spark.createDataFrame(rows, "tile long, seq long, op string")
+    last, since, want = {}, {}, []
+    for tile, seq, op in rows:
+        if "R" in op and tile in last:
+            want.append((last[tile], seq, tile, "RAW"))
+        if "W" in op:
+            want += [(last[tile], seq, tile, "WAW")] if tile in last else []
+            want += [(r, seq, tile, "WAR") for r in since.pop(tile, [])]
+            last[tile] = seq
+        elif op == "R":
+            since.setdefault(tile, []).append(seq)
+    for width in (1, 20, 1 << 20):
+        assert sorted(tuple(r) for r in graph.infer_dependencies(df, width=width).collect()) == sorted(want)
+
+
 def test_products_of_blocks(spark):
     a = spark.createDataFrame([(i, k, i * 7 - k) for i in range(5) for k in range(6) if (i + k) % 3], "i long, j long, v long")
     b = spark.createDataFrame([(k, j, k - 2 * j) for k in range(6) for j in range(4) if k != 2], "i long, j long, v long")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftspark.operators.trace import PLACES, in_buckets
+
 
 def task_space(spark: SparkSession, **ranges: str | tuple) -> DataFrame:
     """A row for each place in nested ranges ``name=(first, last[, step])``, last included; bounds may be expressions of names before."""
@@ -33,17 +35,25 @@ def gathered(edges: DataFrame, target: str) -> DataFrame:
     return edges.groupBy(target).agg(F.count(F.lit(1)).alias("waits"))
 
 
-def infer_dependencies(accesses: DataFrame, tile: str = "tile", seq: str = "seq", op: str = "op") -> DataFrame:
+def infer_dependencies(accesses: DataFrame, tile: str = "tile", seq: str = "seq", op: str = "op", width: int = PLACES) -> DataFrame:
     """Edges (src, dst, tile, kind) that an order of accesses to tiles implies.
 
     ``op`` is R, W or RW. Reads follow the last write (RAW), a write follows the write
-    before (WAW) and the reads since then (WAR).
+    before (WAW) and the reads since then (WAR). The order is cut into buckets of ``width``,
+    each with the write before it and the one after, so no task holds all of a tile's accesses.
     """
-    order = Window.partitionBy(tile).orderBy(seq)
+    rows = accesses.filter(op + " IN ('R', 'W', 'RW')").select(tile, seq, op)
+    wrote = F.when(F.col(op).contains("W"), F.col(seq))
+    ends = in_buckets(rows, seq, width).groupBy(tile, "_b").agg(F.min(wrote).alias("_f"), F.max(wrote).alias("_l"))
+    up, down = (Window.partitionBy(tile).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
+    beside = ends.select(tile, "_b", F.max("_l").over(up).alias("_p"), F.min("_f").over(down).alias("_n"))
+    edges = beside.select(tile, "_b", F.explode(F.array("_p", "_n")).alias(seq), F.lit("W").alias(op)).filter(F.col(seq).isNotNull())
+    order = Window.partitionBy(tile, "_b").orderBy(seq)
     # Backwards, so that the frame only grows.
-    back = Window.partitionBy(tile).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(tile, "_b").orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, -1)
     writes, reads = F.col(op).contains("W"), F.col(op).contains("R")
-    a = accesses.filter(op + " IN ('R', 'W', 'RW')").select(tile, seq, op, F.max(F.when(writes, F.col(seq))).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.last(F.when(writes, F.col(seq)), ignorenulls=True).over(back).alias("next"))
+    told = in_buckets(rows, seq, width, edges).select(tile, seq, op, "_g", F.max(wrote).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.last(wrote, ignorenulls=True).over(back).alias("next"))
+    a = told.filter("NOT _g").drop("_g")
     edge = lambda df, src, dst, kind: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), tile, F.lit(kind).alias("kind"))
     raw = edge(a.filter(reads & F.col("last").isNotNull()), "last", seq, "RAW")
     waw = edge(a.filter(writes & F.col("last").isNotNull()), "last", seq, "WAW")

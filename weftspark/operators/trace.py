@@ -28,7 +28,7 @@ def _upto(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _in_buckets(rows: DataFrame, order: str, width: int, extra: DataFrame | None = None) -> DataFrame:
+def in_buckets(rows: DataFrame, order: str, width: int, extra: DataFrame | None = None) -> DataFrame:
     """Rows with their bucket ``_b`` of ``order``; with the ``extra`` rows, which have one, marked ``_g``."""
     cut = rows.withColumns({"_b": F.floor(F.col(order) / F.lit(width)), "_g": F.lit(False)})
     return cut if extra is None else cut.unionByName(extra.withColumn("_g", F.lit(True)), allowMissingColumns=True)
@@ -41,11 +41,11 @@ def _with_edges(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     bucket's rows and not all of a key's. The edge rows have the order and ``columns`` alone.
     """
     told = F.struct(*dict.fromkeys([*order, *(c for c in columns if c not in keys)]))
-    ends = _in_buckets(rows, order[0], width).groupBy(*keys, "_b").agg(F.min(told).alias("_first"), F.max(told).alias("_last"))
+    ends = in_buckets(rows, order[0], width).groupBy(*keys, "_b").agg(F.min(told).alias("_first"), F.max(told).alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_b")
     beside = ends.select(*keys, "_b", F.lag("_last").over(w).alias("_p"), F.lead("_first").over(w).alias("_n"))
     edges = beside.select(*keys, "_b", F.explode(F.array("_p", "_n")).alias("_x")).filter("_x IS NOT NULL").select(*keys, "_b", "_x.*")
-    return _in_buckets(rows, order[0], width, edges)
+    return in_buckets(rows, order[0], width, edges)
 
 
 def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None, width: int = DAY) -> DataFrame:
@@ -78,11 +78,11 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
     seen = edged.withColumns({"_d": direct, "_c": F.when(F.col("_e") & ~taken, F.col(time))}).filter("NOT _g").drop("_b", "_g")
     # A bucket ends with the first free end of those after it. Backwards, so that the frame only grows.
     alone = [*thread, *(c for c in same if c not in thread)]
-    firsts = _in_buckets(seen.filter("_c IS NOT NULL OR _s"), time, width).groupBy(*alone, "_b").agg(F.min(F.when(F.col("_c").isNotNull(), F.struct(time, id))).alias("_f"))
+    firsts = in_buckets(seen.filter("_c IS NOT NULL OR _s"), time, width).groupBy(*alone, "_b").agg(F.min(F.when(F.col("_c").isNotNull(), F.struct(time, id))).alias("_f"))
     after_it = F.last("_f", ignorenulls=True).over(Window.partitionBy(*alone).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
     carried = firsts.withColumn("_f", after_it).filter("_f IS NOT NULL").select(*alone, "_b", "_f.*", F.col(f"_f.{time}").alias("_c"))
     later = Window.partitionBy(*alone, "_b").orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
-    ended = _in_buckets(seen, time, width, carried).withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later)))
+    ended = in_buckets(seen, time, width, carried).withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later)))
     found = ended.filter("_s AND NOT _g").drop("_b", "_g").withColumn("begin", F.col(time))
     if others is not None:
         stream = next(c for c in thread if c not in others)
@@ -101,11 +101,11 @@ def validate(records: DataFrame, known: Column, keys: list[str], order: str, tim
     ``width`` of the order begins with that of the buckets before.
     """
     marked = records.withColumn("_t", F.when(known, F.col(time)))
-    most = _in_buckets(marked, order, width).groupBy(*keys, "_b").agg(F.max("_t").alias("_t"), F.max(order).alias(order))
+    most = in_buckets(marked, order, width).groupBy(*keys, "_b").agg(F.max("_t").alias("_t"), F.max(order).alias(order))
     w = Window.partitionBy(*keys).orderBy("_b")
     starts = most.select(*keys, "_b", F.max("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_t"), F.lag(order).over(w).alias(order)).filter("_t IS NOT NULL")
     past = F.max("_t").over(_before([*keys, "_b"], order))
-    told = _in_buckets(marked, order, width, starts).withColumn("error", F.when(~known, "unknown type").when(F.col(time) < past, "before its predecessor"))
+    told = in_buckets(marked, order, width, starts).withColumn("error", F.when(~known, "unknown type").when(F.col(time) < past, "before its predecessor"))
     return told.filter("NOT _g").drop("_b", "_g", "_t")
 
 

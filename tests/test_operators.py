@@ -62,11 +62,12 @@ def test_buckets_look_past_their_edges(spark):
     df = spark.createDataFrame(rows, "id long, node long, time long, type string, same long, size long")
     is_start, is_end = F.col("type") == "s", F.col("type") == "e"
     want = None
-    for width in (1, 9, 10**6):
+    assert trace.width_for(df, ["node"], 5, 200) is None and trace.width_for(df, ["node"], 5, 20) == 5
+    for width in (None, 1, 9, 10**6):
         pairs = trace.pair_intervals(df, ["node"], is_start, is_end, ("same",), width=width).select("id", "begin", "end")
         checked = trace.validate(df, F.col("type") != "x", ["node"], "id", width=width).select("id", "error")
         nexts = trace.next_match(df, ["node", "same"], ["type", "time"], width=width).select("id", "next_type", "next_time")
-        memory = trace.memory_timeline(df.filter("node IS NOT NULL"), ["node"], "same", is_start, "size", width=width).select("id", "change", "total")
+        memory = trace.memory_timeline(df.filter("node IS NOT NULL"), ["node"], "same", is_start, "size", width=width or 3).select("id", "change", "total")
         got = [sorted(map(tuple, x.collect()), key=str) for x in (pairs, checked, nexts, memory)]
         want = want or got
         assert got == want

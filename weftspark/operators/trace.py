@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Widths of time buckets, in microseconds.
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
-#: Records of a thread in a bucket, where a thread's order is that of places and not of times.
+#: Records of a thread in a bucket, where a thread's order is that of places and not of times; and of a key that a task may hold.
 PLACES = 1 << 20
 
 
@@ -28,18 +28,27 @@ def _upto(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def in_buckets(rows: DataFrame, order: str, width: int, extra: DataFrame | None = None) -> DataFrame:
-    """Rows with their bucket ``_b`` of ``order``; with the ``extra`` rows, which have one, marked ``_g``."""
-    cut = rows.withColumns({"_b": F.floor(F.col(order) / F.lit(width)), "_g": F.lit(False)})
+def width_for(records: DataFrame, keys: list[str], width: int = DAY, most: int = PLACES) -> int | None:
+    """``width`` where some key has more than ``most`` records, else None: a task can hold each key's. Counts at once."""
+    largest = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return width if (largest or 0) > most else None
+
+
+def in_buckets(rows: DataFrame, order: str, width: int | None, extra: DataFrame | None = None) -> DataFrame:
+    """Rows with their bucket ``_b`` of ``order`` (the one there is, without a width); with the ``extra`` rows, which have one, marked ``_g``."""
+    bucket = F.lit(0) if width is None else F.floor(F.col(order) / F.lit(width))
+    cut = rows.withColumns({"_b": bucket, "_g": F.lit(False)})
     return cut if extra is None else cut.unionByName(extra.withColumn("_g", F.lit(True)), allowMissingColumns=True)
 
 
-def _with_edges(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int) -> DataFrame:
+def _with_edges(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int | None) -> DataFrame:
     """Rows in buckets, and with each bucket the record before it and the one after it.
 
     A window over the keys and ``_b`` sees each row's neighbours so, and a task holds a
     bucket's rows and not all of a key's. The edge rows have the order and ``columns`` alone.
     """
+    if width is None:
+        return in_buckets(rows, order[0], None)
     told = F.struct(*dict.fromkeys([*order, *(c for c in columns if c not in keys)]))
     ends = in_buckets(rows, order[0], width).groupBy(*keys, "_b").agg(F.min(told).alias("_first"), F.max(told).alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_b")
@@ -48,7 +57,7 @@ def _with_edges(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     return in_buckets(rows, order[0], width, edges)
 
 
-def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None, width: int = DAY) -> DataFrame:
+def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Column, same: tuple[str, ...] = (), others: list[str] | None = None, time: str = "time", id: str = "id", order: list[str] | None = None, width: int | None = DAY) -> DataFrame:
     """Starts with their end: ``begin``, and ``end`` or null.
 
     An end fits a start if it is not earlier and the ``same`` columns agree. A start takes
@@ -57,7 +66,7 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
     names the columns of a file, such an end of the first other thread of the file that has one.
     An end may serve several starts. ``order`` is that of a thread's records (time, then id).
     Threads are cut into buckets of ``width`` (PLACES, where an order is given), which look
-    past their edges.
+    past their edges; they stay whole where it is None (see width_for).
     """
     by = order or [time, id]
     within = Window.partitionBy(*thread, "_b").orderBy(*by)
@@ -74,13 +83,15 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
 
     direct = F.when(F.col("_s") & after("_e") & alike(after) & (after(time) >= F.col(time)), after(time))
     taken = F.col("_e") & F.coalesce(before("_s") & alike(before) & (before(time) <= F.col(time)), F.lit(False))
-    edged = _with_edges(marked, thread, by, [time, id, "_s", "_e", *same], PLACES if order else width)
+    edged = _with_edges(marked, thread, by, [time, id, "_s", "_e", *same], PLACES if order and width else width)
     seen = edged.withColumns({"_d": direct, "_c": F.when(F.col("_e") & ~taken, F.col(time))}).filter("NOT _g").drop("_b", "_g")
     # A bucket ends with the first free end of those after it. Backwards, so that the frame only grows.
     alone = [*thread, *(c for c in same if c not in thread)]
-    firsts = in_buckets(seen.filter("_c IS NOT NULL OR _s"), time, width).groupBy(*alone, "_b").agg(F.min(F.when(F.col("_c").isNotNull(), F.struct(time, id))).alias("_f"))
-    after_it = F.last("_f", ignorenulls=True).over(Window.partitionBy(*alone).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
-    carried = firsts.withColumn("_f", after_it).filter("_f IS NOT NULL").select(*alone, "_b", "_f.*", F.col(f"_f.{time}").alias("_c"))
+    carried = None
+    if width is not None:
+        firsts = in_buckets(seen.filter("_c IS NOT NULL OR _s"), time, width).groupBy(*alone, "_b").agg(F.min(F.when(F.col("_c").isNotNull(), F.struct(time, id))).alias("_f"))
+        after_it = F.last("_f", ignorenulls=True).over(Window.partitionBy(*alone).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+        carried = firsts.withColumn("_f", after_it).filter("_f IS NOT NULL").select(*alone, "_b", "_f.*", F.col(f"_f.{time}").alias("_c"))
     later = Window.partitionBy(*alone, "_b").orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
     ended = in_buckets(seen, time, width, carried).withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later)))
     found = ended.filter("_s AND NOT _g").drop("_b", "_g").withColumn("begin", F.col(time))
@@ -224,8 +235,8 @@ def counter_timeline(intervals: DataFrame, keys: list[str], size: str, width: in
     return running_totals(rows, keys, {"total": "change"}, ["time", "side", "id"], width)
 
 
-def next_match(records: DataFrame, keys: list[str], columns: list[str], time: str = "time", id: str = "id", width: int = DAY) -> DataFrame:
-    """Each record with ``next_<column>`` of the record after it with the same keys."""
+def next_match(records: DataFrame, keys: list[str], columns: list[str], time: str = "time", id: str = "id", width: int | None = DAY) -> DataFrame:
+    """Each record with ``next_<column>`` of the record after it with the same keys, which are cut into buckets of ``width`` (whole if None)."""
     w = Window.partitionBy(*keys, "_b").orderBy(time, id)
     edged = _with_edges(records, keys, [time, id], columns, width)
     return edged.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("NOT _g").drop("_b", "_g")

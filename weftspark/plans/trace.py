@@ -27,7 +27,8 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.pair_intervals(events(spark, sf), ["stream"], F.col("type") == "view", F.col("type") == "purchase")
+    e = events(spark, sf)
+    p = T.pair_intervals(e, ["stream"], F.col("type") == "view", F.col("type") == "purchase", width=T.width_for(e, ["stream"]))
     return p.filter("end IS NOT NULL").select("id", "stream", "node", "size", "ptr", "begin", "end")
 
 
@@ -105,14 +106,16 @@ def trace_out_of_order(s, d):
 @query(f"""WITH {EV}, {NB}, p AS (SELECT *, {STOP} FROM nb)
 SELECT id, CASE WHEN stop IS NULL THEN 'no matching end' WHEN stop < time OR stop - time > 36000000000 THEN 'unreasonable duration' END AS error FROM p WHERE type = 'view'""")
 def trace_interval_errors(s, d):
-    p = T.pair_intervals(events(s, d), ["stream"], F.col("type") == "view", F.col("type") == "purchase")
+    e = events(s, d)
+    p = T.pair_intervals(e, ["stream"], F.col("type") == "view", F.col("type") == "purchase", width=T.width_for(e, ["stream"]))
     return T.interval_errors(p, 600 * MINUTE).select("id", "error")
 
 
 @query(f"""WITH {EV}, m AS (SELECT *, lead(type) OVER (PARTITION BY stream, ptr ORDER BY time, id) AS next_type, lead(time) OVER (PARTITION BY stream, ptr ORDER BY time, id) AS next_time FROM ev WHERE type IN ('view', 'purchase'))
 SELECT id, stream, ptr, next_time, next_type = 'purchase' AS freed FROM m WHERE type = 'view' AND next_type IS NOT NULL""")
 def trace_next_match(s, d):
-    m = T.next_match(events(s, d).filter(F.col("type").isin("view", "purchase")), ["stream", "ptr"], ["type", "time"])
+    e = events(s, d).filter(F.col("type").isin("view", "purchase"))
+    m = T.next_match(e, ["stream", "ptr"], ["type", "time"], width=T.width_for(e, ["stream", "ptr"]))
     return m.filter("type = 'view' AND next_type IS NOT NULL").select("id", "stream", "ptr", "next_time", (F.col("next_type") == "purchase").alias("freed"))
 
 
@@ -330,13 +333,14 @@ SELECT n.id, n.stream, n.time AS "begin", CASE WHEN direct THEN nt ELSE coalesce
 def trace_match_events(s, d):
     """Starts and ends by type, event and taskpool: the next record, the thread, the node's other threads."""
     e = events(s, d).withColumns({"eid": F.col("ptr") % 3, "pool": F.col("id") % 2})
-    return T.pair_intervals(e, ["node", "stream"], F.col("type") == "view", F.col("type") == "purchase", ("eid", "pool"), ["node"]).select("id", "stream", "begin", "end")
+    return T.pair_intervals(e, ["node", "stream"], F.col("type") == "view", F.col("type") == "purchase", ("eid", "pool"), ["node"], width=T.width_for(e, ["node", "stream"])).select("id", "stream", "begin", "end")
 
 
 @query(f"""WITH {EV}, {NB}, p AS (SELECT *, {STOP} FROM nb)
 SELECT id, stream, time AS "begin", stop AS "end", CASE WHEN stop IS NULL THEN 'no matching end' WHEN stop - time > 36000000000 THEN 'unreasonable duration' END AS error FROM p WHERE type = 'view'""")
 def trace_with_errors(s, d):
-    p = T.interval_errors(T.pair_intervals(events(s, d), ["stream"], F.col("type") == "view", F.col("type") == "purchase"), 600 * MINUTE).select("id", "stream", "begin", "end", "error")
+    e = events(s, d)
+    p = T.interval_errors(T.pair_intervals(e, ["stream"], F.col("type") == "view", F.col("type") == "purchase", width=T.width_for(e, ["stream"])), 600 * MINUTE).select("id", "stream", "begin", "end", "error")
     return T.with_errors(p.filter("error IS NULL").drop("error"), p.filter("error IS NOT NULL"))
 
 

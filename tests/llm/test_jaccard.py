@@ -86,3 +86,26 @@ def test_odd_rows(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).select((F.col("id") * 7 % 61).alias("a"), ((F.col("id") + 1) * 7 % 61).alias("b"))
     assert {r.label for r in components(edges).collect()} == {0}
+
+
+def test_no_plan_has_many_exchanges(spark, monkeypatch):
+    """The driver holds a plan anew with each stage of it, so large ones took its memory."""
+    from weftspark.llm import jaccard
+
+    seen = []
+
+    def exchanges(df):
+        return sum(line.lstrip(" :+-").startswith("Exchange") for line in df._jdf.queryExecution().executedPlan().treeString().splitlines())
+
+    def spy(df):
+        seen.append(exchanges(df))
+        return written(df)
+
+    written = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", spy)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(6)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen.append(exchanges(out))
+    assert {r.component_id for r in out.collect()} == {0}
+    assert max(seen) <= 16, seen

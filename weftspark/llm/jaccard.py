@@ -243,13 +243,14 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("id", "label", "n", "lone", "common", "names").mapInArrow(run, "name long, id long, label long, n long, common long, at long, need long")
 
 
-def _two(rows: DataFrame, value: Column, least: bool, name: str) -> DataFrame:
-    """Per list: the best value, its label, and the best value among other labels (null if none)."""
-    best, one = (F.min, F.min_by) if least else (F.max, F.max_by)
-    by_label = rows.groupBy("name", "label").agg(best(value).alias("v"))
-    top = by_label.groupBy("name").agg(one("label", F.struct("v", "label")).alias(f"{name}_label"), best("v").alias(name))
-    rest = by_label.join(top, "name").filter(F.col("label") != F.col(f"{name}_label")).groupBy("name").agg(best("v").alias(f"{name}_other"))
-    return top.join(rest, "name")
+def _bounds(found: DataFrame) -> DataFrame:
+    """Per list, which all have two labels or more: the least n and the greatest reach, the label of each, and the best among other labels."""
+    by_label = found.groupBy("name", "label").agg(F.min("n").alias("low"), F.max("reach").alias("high"))
+    low = [F.min_by("label", F.struct("low", "label")).alias("small_label"), F.min("low").alias("small")]
+    high = [F.max_by("label", F.struct("high", "label")).alias("far_label"), F.max("high").alias("far")]
+    both = by_label.join(by_label.groupBy("name").agg(*low, *high), "name")
+    others = [F.min(F.when(F.col("label") != F.col("small_label"), F.col("low"))).alias("small_other"), F.max(F.when(F.col("label") != F.col("far_label"), F.col("high"))).alias("far_other")]
+    return both.groupBy("name", "small_label", "small", "far_label", "far").agg(*others)
 
 
 def _of_others(name: str) -> Column:
@@ -267,8 +268,8 @@ def _entries(sets: DataFrame) -> DataFrame:
     count = F.count(F.lit(1)).alias("length")
     lists = listed.groupBy("name").agg(count, F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("name", "length")
     found = cut(_dealt_join(listed, lists, "name", "id"))
-    bounds = _two(found, F.col("n"), True, "small").join(_two(found, F.col("reach"), False, "far"), "name")
-    bounded = _dealt_join(found, bounds, "name", "id")
+    # The driver keeps and reports a plan again with each of its stages, so what is read twice is written first.
+    bounded = _dealt_join(found, cut(_bounds(found)), "name", "id")
     fits = {k: (4 * _of_others("small") <= F.col("reach") + 9 * k) & (4 * F.col("n") <= _of_others("far") + 9 * k) for k in STEPS}
     # Cost of a prefix: its entries are sent, and each list may hold as many candidates, of which fewer stay with more matches asked for.
     costs = [F.sum(F.when((F.col("at") < F.col("need") + k) & fits[k], 1.0 + (F.col("length") - 1) * (1.0 + 8.0 / (1 + k) ** 2)).otherwise(0.0)).alias(f"c{k}") for k in STEPS]
@@ -343,12 +344,12 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     first = reps.groupBy("n", "p0", "p1").agg(F.min("id").alias("class"))
     classes = reps.select("n", "p0", "p1", F.col("id").alias("rep")).join(first, ["n", "p0", "p1"]).select("rep", "class").distinct()
     sets = reps.filter("names is not null").join(first.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    sets = sets.select("id", "n", "lone", "common", "names")
+    sets = cut(sets.select("id", "n", "lone", "common", "names"))
     keys = cut(_bands(sets).distinct())
     pivots = keys.groupBy("key").agg(F.max(F.struct("common", -F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", (-F.col("p.col2")).alias("b"))
     votes = _dealt_join(keys, pivots, "key", "id").filter("id <> b").groupBy("id", "b").count()
     near = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
-    linked = cut(_similar(near, sets))
+    linked = cut(_similar(cut(near), sets))
     labels = components(linked)
     for pairs in (_stars, candidates):
         labelled = sets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))

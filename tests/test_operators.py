@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,34 @@ def test_buckets_look_past_their_edges(spark):
     assert dict(want[1]) == errors
 
 
+def _ended_elsewhere_plainly(rows, of_own):
+    """``of_own`` with the ends of other streams, a start at a time; rows are (id, node, stream, time, type, same)."""
+    fits = lambda a, b: a[4] in "sb" and b[4] in "eb" and a[5] == b[5] and b[3] >= a[3]
+    threads = {t: sorted((r for r in rows if r[1:3] == t), key=lambda r: (r[3], r[0])) for t in {r[1:3] for r in rows}}
+    free = [own[j] for own in threads.values() for j in range(len(own)) if own[j][4] in "eb" and not (j and fits(own[j - 1], own[j]))]
+    at = {r[0]: r for r in rows}
+    for i, begin, end in of_own:
+        s = at[i]
+        there = [(f[2], f[3]) for f in free if None not in (s[2], f[2], *s[1:2], s[5]) and f[1] == s[1] and f[2] != s[2] and f[5] == s[5] and f[3] >= s[3]]
+        yield i, begin, end if end is not None else min(there, default=(None, None))[1]
+
+
+def test_ends_of_other_threads_are_found_without_pairs(spark):
+    """A file's starts and ends never meet as pairs; ends are those by the rule, in buckets of any width."""
+    r = random.Random(5)
+    rows = [(i, r.choice([None, 0, 0, 1]), r.choice([*range(25), None]), r.randrange(50), r.choice("sssexmb"), r.choice([0, 1, 2, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, node long, stream long, time long, type string, same long")
+    marks = F.col("type").isin("s", "b"), F.col("type").isin("e", "b")
+    own = sorted(map(tuple, trace.pair_intervals(df, ["node", "stream"], *marks, ("same",)).select("id", "begin", "end").collect()))
+    want = list(_ended_elsewhere_plainly(rows, own))
+    assert sum(a != b for a, b in zip(own, want, strict=True)) > 50
+    for width in (None, 1, 9, 10**6):
+        found = trace.pair_intervals(df, ["node", "stream"], *marks, ("same",), ["node"], width=width)
+        assert {*found.columns} == {*df.columns, "begin", "end"}
+        assert sorted(map(tuple, found.select("id", "begin", "end").collect())) == want, width
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dependencies_look_past_the_edges_of_buckets(spark):
     rows = [((i * 7919) % 3, i, ("R", "R", "W", "RW", "-")[(i * i * 31 + i) % 5]) for i in range(150)]
     df = spark.createDataFrame(rows, "tile long, seq long, op string")

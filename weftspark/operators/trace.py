@@ -93,16 +93,43 @@ def pair_intervals(records: DataFrame, thread: list[str], start: Column, end: Co
         after_it = F.last("_f", ignorenulls=True).over(Window.partitionBy(*alone).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
         carried = firsts.withColumn("_f", after_it).filter("_f IS NOT NULL").select(*alone, "_b", "_f.*", F.col(f"_f.{time}").alias("_c"))
     later = Window.partitionBy(*alone, "_b").orderBy(F.desc(time), F.desc(id)).rowsBetween(Window.unboundedPreceding, -1)
-    ended = in_buckets(seen, time, width, carried).withColumn("end", F.coalesce("_d", F.last("_c", ignorenulls=True).over(later)))
-    found = ended.filter("_s AND NOT _g").drop("_b", "_g").withColumn("begin", F.col(time))
+    ended = in_buckets(seen, time, width, carried).withColumn("_n", F.last("_c", ignorenulls=True).over(later)).withColumn("end", F.coalesce("_d", "_n"))
+    ended = ended.filter("NOT _g").drop("_b", "_g")
     if others is not None:
-        stream = next(c for c in thread if c not in others)
-        free = seen.filter("_c IS NOT NULL").select(*others, *same, F.col(stream).alias("_t"), F.col("_c").alias("_te"))
-        lone = found.filter("end IS NULL").select(*dict.fromkeys([*thread, id, *others, *same, "begin"]))
-        fits = lone.join(free, [*others, *same]).filter((F.col("_te") >= F.col("begin")) & (F.col("_t") != F.col(stream)))
-        first = fits.groupBy(*thread, id).agg(F.min(F.struct("_t", "_te")).alias("_m"))
-        found = found.join(first, [*thread, id], "left").withColumn("end", F.coalesce("end", "_m._te")).drop("_m")
-    return found.drop("_s", "_e", "_d", "_c")
+        ended = _end_elsewhere(ended, next(c for c in thread if c not in others), list(dict.fromkeys([*others, *same])), time, width or DAY)
+    found = ended.filter("_s").withColumn("begin", F.col(time))
+    return found.drop("_s", "_e", "_d", "_c", "_n")
+
+
+def _end_elsewhere(ended: DataFrame, stream: str, keys: list[str], time: str, width: int) -> DataFrame:
+    """Starts (``_s``); one without ``end`` takes the next free end (``_c``) of the first other stream of its keys that has one.
+
+    A stream has one if its last free end (with no ``_n`` after it) isn't earlier than the start, so
+    the first such stream is a running minimum, backwards in time. The second is kept too, as a
+    start's own stream may have an end at the start's very time. No pair is made, and a task holds
+    a bucket of the keys; it ends with the next end of the first stream that has one after it.
+    """
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("_s"), True), F.when(F.col("_c").isNotNull(), False))))
+    split = ended.withColumn("_k", sides).withColumns({"_s": F.col("_k"), "_c": F.when(~F.col("_k"), F.col("_c"))}).drop("_k")
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*keys, stream]))
+    cut = in_buckets(split, time, width).filter(F.col("_s") | whole).withColumn("_l", F.when(F.col("_c").isNotNull() & F.col("_n").isNull(), F.col(stream)))
+    cell = [*keys, "_b"]
+    past = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = cut.groupBy(*cell).agg(F.min("_l").alias("_l")).withColumn(stream, F.min("_l").over(past)).filter(F.col(stream).isNotNull()).select(*cell, stream)
+    ends = cut.filter("_c IS NOT NULL").groupBy(*cell, stream).agg(F.min("_c").alias("_c"))
+    later = Window.partitionBy(*keys, stream).orderBy(F.desc("_b"), "_w").rowsBetween(Window.unboundedPreceding, -1)
+    told = ends.withColumn("_w", F.lit(1)).unionByName(wanted.withColumn("_w", F.lit(0)), allowMissingColumns=True).withColumn("_c", F.min("_c").over(later)).filter("_w = 0")
+    carried = told.select(*cell, stream, "_c", F.col("_c").alias(time), F.col(stream).alias("_l"))
+    back = Window.partitionBy(*cell).orderBy(F.desc(time))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    rows = cut.unionByName(carried.withColumns({"_s": F.lit(False), "_g": F.lit(True)}), allowMissingColumns=True)
+    rows = rows.withColumns({"_p": F.min("_l").over(back.rowsBetween(Window.unboundedPreceding, -1)), "_1": F.min("_l").over(back.rangeBetween(*upto))})
+    rows = rows.withColumn("_2", F.min(F.when(F.col("_l") != F.col("_p"), F.greatest("_l", "_p"))).over(back.rangeBetween(*upto)))
+    lone = F.col("_s") & F.col("end").isNull() & F.col(time).isNotNull()
+    takes = F.when(~F.col("_s"), F.col(stream)).when(lone & (F.col("_1") != F.col(stream)), F.col("_1")).when(lone & (F.col("_1") == F.col(stream)), F.col("_2"))
+    nearest = F.min("_c").over(Window.partitionBy(*cell, "_t").orderBy(F.desc(time)).rangeBetween(*upto))
+    out = rows.withColumn("_t", takes).withColumn("end", F.coalesce("end", F.when(F.col("_t").isNotNull(), nearest)))
+    return out.filter("_s").drop("_b", "_g", "_l", "_p", "_1", "_2", "_t")
 
 
 def validate(records: DataFrame, known: Column, keys: list[str], order: str, time: str = "time", width: int = DAY) -> DataFrame:

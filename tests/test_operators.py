@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,33 @@ def test_products_of_blocks(spark):
         assert {(r.i, r.j): r.v for r in udf.multiply_blocks(a, b, block).collect()} == want
 
 
+def test_a_task_holds_few_tiles_as_it_maps_them(spark):
+    """The memory of a task's Python doesn't grow with the tiles of a batch."""
+    cell = "struct(CAST(x div 16 AS int) AS a, CAST(x % 16 AS int) AS b, id * 256 + x AS v)"
+    some = spark.range(6000).coalesce(1).select(F.col("id").alias("m"), (F.col("id") % 2).alias("n"), F.expr(f"transform(sequence(0L, 255L), x -> {cell})").alias("tile"))
+
+    def held(m, n, a, b, v):
+        with open("/proc/self/statm") as f:
+            return np.full(len(v), int(f.read().split()[1]) * 4096)
+
+    seen = udf.map_tiles(some, held).select(F.col("tile")[0].v.alias("v")).agg(F.min("v"), F.max("v")).first()
+    assert seen[1] - seen[0] < 100e6
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 18])
+def test_mapped_tiles_keep_their_cells(spark, most):
+    """Tiles of several sizes, an empty one among them; a value that isn't whole is cut, one too few is refused."""
+    rows = [(m, n, [(a, b, 100 * m + 10 * a + b) for a in range(m) for b in range(3)]) for m in range(5) for n in range(5)]
+    some = spark.createDataFrame(rows, "m long, n long, tile array<struct<a: int, b: int, v: long>>").coalesce(1)
+    for kind in ("full", "lower", "upper"):
+        inside = lambda m, n, a, b: kind == "full" or (m > n if kind == "lower" else m < n) or m == n and (a >= b if kind == "lower" else a <= b)  # noqa: B023, E731
+        want = sorted((m, n, [(a, b, 2 * v + m if inside(m, n, a, b) else v) for a, b, v in tile]) for m, n, tile in rows)
+        got = udf.map_tiles(some, lambda m, n, a, b, v: 2 * v + m + 0.5, kind, most).collect()
+        assert sorted((r.m, r.n, [tuple(c) for c in r.tile]) for r in got) == want
+    with pytest.raises(Exception, match="ValueError"):
+        udf.map_tiles(some, lambda m, n, a, b, v: v[1:], most=most).collect()
+
+
 def test_owners_on_the_extended_diagonal_use_all_pairs(spark):
     for r in (4, 5, 6, 7, 8):
         t = spark.range(r * r).select(F.col("id").alias("m"))

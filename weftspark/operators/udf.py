@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from weftspark.operators.tiles import FULL, region, with_tiles
 
 Tile = np.ndarray
+#: Cells that a task makes anew at once.
+CELLS = 1 << 18
 
 
 def to_tiles(cells: DataFrame, mb: int, nb: int) -> DataFrame:
@@ -38,23 +40,38 @@ def _arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield a[x:y], b[x:y], v[x:y]
 
 
-def map_tiles(tiles: DataFrame, op: Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str = FULL) -> DataFrame:
+def _parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` cells, or of a tile."""
+    offsets, k = batch.column(column).offsets.to_numpy(), 0
+    while k < batch.num_rows:
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
+        yield batch.slice(k, stop - k)
+        k = stop
+
+
+def map_tiles(tiles: DataFrame, op: Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str = FULL, most: int = CELLS) -> DataFrame:
     """op(m, n, rows, columns, values) of each tile gives its new values.
 
     With a triangle, tiles beyond the diagonal are left as they are and a tile on it gets
-    only its part of the triangle (the diagonal included) changed.
+    only its part of the triangle (the diagonal included) changed. ``most`` cells (a tile at
+    least) are made anew at once, however many tiles come in a batch.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            out = []
-            for m, n, (a, b, v) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+        for part in (p for batch in source for p in _parts(batch, 2, most)):
+            column, out = part.column(2), []
+            flat, offsets = column.flatten(), column.offsets.to_numpy()
+            for m, n, (a, b, v) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _arrays(column), strict=True):
                 inside = kind == FULL or (m > n if kind == "lower" else m < n)
                 if inside or m == n:
                     new = np.asarray(op(m, n, a, b, v))
                     v = new if inside else np.where(a >= b if kind == "lower" else a <= b, new, v)
-                out.append([{"a": int(x), "b": int(y), "v": z} for x, y, z in zip(a, b, v.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field("tile").type)], names=["m", "n", "tile"])
+                if v.shape != a.shape:
+                    raise ValueError(f"the operator gave {v.shape} values for the {len(a)} cells of tile ({m}, {n})")
+                out.append(pa.array(v.tolist(), flat.type.field("v").type))
+            cells = pa.StructArray.from_arrays([flat.field("a"), flat.field("b"), pa.concat_arrays(out)], fields=list(flat.type))
+            tile = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), cells, type=column.type)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tile], names=["m", "n", "tile"])
 
     region(kind)  # refuses what is no region
     return tiles.select("m", "n", "tile").mapInArrow(run, tiles.select("m", "n", "tile").schema)
